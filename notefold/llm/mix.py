@@ -3,7 +3,7 @@
 Every record of a source has the same expected number of copies, its source's wanted tokens over its tokens at hand, cut
 at the source's most repeats. The whole part is given to each record; the fractional parts are rounded dependently: pairs
 of records exchange token mass at random until one of the two is whole, which keeps a source's total and each record's
-expectation. A partition passes on at most one unsettled record per source; these few settle in a reduction tree.
+expectation. A source's few large records settle first, each against all its smaller ones together. A partition passes on at most one unsettled record per source; these few settle in a reduction tree.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from notefold.session import bounded_batches, materialise
 
 #: Unsettled records of a source that one task of the reduction tree takes.
 FAN_IN = 64
+#: A record is large from this part of its source's tokens on, so a source has at most the inverse of them.
+LARGE = 0.01
 #: Sources that may be broadcast with their rates.
 MAX_SOURCES = 100_000
 
@@ -103,7 +105,33 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
     plan = materialise(rates(sized, targets), "rates")
     if plan.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
-    rated = sized.join(F.broadcast(plan.select("source", "rate")), "source")
+    rated = sized.join(F.broadcast(plan.select("source", "rate", F.col("n_tokens").alias("pool"))), "source")
+    is_large = F.col("n_tokens") >= LARGE * F.col("pool")
+
+    def settle_large(rows: pd.DataFrame) -> pd.DataFrame:
+        # A large record's counterpart is the mass of all smaller ones of its source, taken as one.
+        rows = rows.sort_values(["n_tokens", "doc_id"], ascending=[False, True])
+        source, rate = rows["source"].iloc[0], float(rows["rate"].iloc[0])
+        whole = int(np.floor(rate + _EPS))
+        rest, share, out = int(rows["pool"].iloc[0]), rate - whole, []
+        for doc, size in zip(rows["doc_id"], rows["n_tokens"]):
+            rest -= size
+            up, down = min((1 - share) * size, share * rest), min(share * size, (1 - share) * rest)
+            extra = _uniform(int(doc), whole + 1, seed) * (up + down) < down
+            moved = up if extra else -down
+            if share < _EPS or abs(moved) + _EPS < (1 - share if extra else share) * size:
+                break  # the smaller ones would be used up first: the rest settle record by record
+            share -= moved / rest
+            out.append((doc, source, size, whole + int(extra), None))
+        unsettled = list(zip(rows["doc_id"], rows["n_tokens"]))[len(out) :]
+        out += [(doc, source, size, -1, whole + share) for doc, size in unsettled]
+        out.append((None, source, None, -2, whole + share))
+        return pd.DataFrame(out, columns=["doc_id", "source", "n_tokens", "copies", "rate"]).astype({"doc_id": "Int64", "n_tokens": "Int64"})
+
+    large = materialise(rated.where(is_large & (F.col("n_tokens") > 0)).groupBy("source").applyInPandas(settle_large, "doc_id bigint, source string, n_tokens bigint, copies bigint, rate double"), "large")
+    shifted = large.where("copies = -2").select("source", F.col("rate").alias("shifted"))
+    small_ones = rated.where(~is_large | (F.col("n_tokens") == 0)).join(F.broadcast(shifted), "source", "left").select("doc_id", "source", "n_tokens", F.coalesce("shifted", "rate").alias("rate"))
+    rated = small_ones.unionByName(large.where("copies = -1").select("doc_id", "source", "n_tokens", "rate"))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, open_ones, wholes = TaskContext.get().partitionId(), {}, {}
@@ -137,9 +165,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
         return pd.DataFrame(out, columns=["doc_id", "source", "n_tokens", "copies", "part_copy", "part"])
 
     # The largest first: a large record needs many small ones to settle against, and what is left at the end is small.
-    ordered = rated.select("doc_id", "source", "n_tokens", "rate").sortWithinPartitions(F.desc("n_tokens"), "doc_id")
+    ordered = rated.sortWithinPartitions(F.desc("n_tokens"), "doc_id")
     level = materialise(ordered.mapInPandas(settle, _ROUNDED), "settled")
-    done = level.where("copies >= 0").select("doc_id", "source", "n_tokens", "copies")
+    done = level.where("copies >= 0").select("doc_id", "source", "n_tokens", "copies").unionByName(large.where("copies >= 0").select("doc_id", "source", "n_tokens", "copies"))
     width = (level.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         width = -(-width // FAN_IN)

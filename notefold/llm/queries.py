@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notefold.llm.dedup import link_items
 from notefold.llm.mix import mix_sources
 from notefold.llm.pack import fill_report, pack_texts
 from notefold.llm.split import split_texts
@@ -30,6 +31,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 and piece_no = 1").select("item_kind", "item_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose source was accepted before, with the first accepted item of that source."""
+    return link_items(table(spark, sf_dir, "manifest_items"), table(spark, sf_dir, "short_links"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of all documents."""
     return pack_texts(table(spark, sf_dir, "documents"), _limit(spark, sf_dir, "container"))
@@ -60,7 +66,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_report(spark, sf_dir).where("not reachable").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found)}
 
 SQL = {
     "p1_found": """
