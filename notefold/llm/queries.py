@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notefold.llm.dedup import link_items
 from notefold.llm.mix import mix_sources
 from notefold.llm.pack import fill_report, pack_texts
+from notefold.llm.spans import SharedSpans
 from notefold.llm.split import split_texts
 from notefold.session import table
 
@@ -66,7 +67,26 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_report(spark, sf_dir).where("not reachable").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found)}
+def _shared(spark: SparkSession, sf_dir: str) -> SharedSpans:
+    return SharedSpans(table(spark, sf_dir, "documents"), _limit(spark, sf_dir, "shared_span"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share a span."""
+    return _shared(spark, sf_dir).pairs()
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal shared spans."""
+    return _shared(spark, sf_dir).spans()
+
+
+def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is found elsewhere."""
+    return _shared(spark, sf_dir).amounts()
+
+
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
 
 SQL = {
     "p1_found": """
