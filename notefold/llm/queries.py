@@ -10,6 +10,7 @@ from notefold.llm.mix import mix_sources
 from notefold.llm.pack import fill_report, pack_texts
 from notefold.llm.spans import SharedSpans
 from notefold.llm.split import split_texts
+from notefold.llm.turns import speaker_turns
 from notefold.session import table
 
 
@@ -32,6 +33,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 and piece_no = 1").select("item_kind", "item_id")
 
 
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of all transcripts."""
+    return speaker_turns(table(spark, sf_dir, "transcripts"), table(spark, sf_dir, "speaker_roster"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's number and speaker."""
+    return p3_turns(spark, sf_dir).select("transcript_id", "turn_no", "speaker")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose source was accepted before, with the first accepted item of that source."""
     return link_items(table(spark, sf_dir, "manifest_items"), table(spark, sf_dir, "short_links"))
@@ -86,7 +97,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(spark, sf_dir).amounts()
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p3_turns, p3_found, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
 
 SQL = {
     "p1_found": """
