@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notefold.llm.boilerplate import strip_boilerplate
 from notefold.llm.dedup import link_items
 from notefold.llm.mix import mix_sources
 from notefold.llm.pack import fill_report, pack_texts
@@ -43,6 +44,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_turns(spark, sf_dir).select("transcript_id", "turn_no", "speaker")
 
 
+def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "notes").where(F.col("source_type").isin("webpage", "wechat-article"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of web notes that are not part of the article."""
+    return strip_boilerplate(_web(spark, sf_dir)).select(F.col("id").alias("note_id"), "line_no")
+
+
+def p5_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of web notes that are part of the article."""
+    return strip_boilerplate(_web(spark, sf_dir), keep="content").select(F.col("id").alias("note_id"), "line_no", "line")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose source was accepted before, with the first accepted item of that source."""
     return link_items(table(spark, sf_dir, "manifest_items"), table(spark, sf_dir, "short_links"))
@@ -97,7 +112,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(spark, sf_dir).amounts()
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p3_turns, p3_found, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p3_turns, p3_found, p5_found, p5_article, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
 
 SQL = {
     "p1_found": """
