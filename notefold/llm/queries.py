@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notefold.llm.boilerplate import strip_boilerplate
 from notefold.llm.dedup import link_items
 from notefold.llm.mix import mix_sources
+from notefold.llm.ocr import noise_of, paragraphs_of, repair_pages
 from notefold.llm.pack import fill_report, pack_texts
 from notefold.llm.spans import SharedSpans
 from notefold.llm.split import split_texts
@@ -34,6 +35,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 and piece_no = 1").select("item_kind", "item_id")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_pages(table(spark, sf_dir, "page_results"), table(spark, sf_dir, "ocr_lexicon"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with noise of scanning and printing."""
+    return noise_of(_pages(spark, sf_dir))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired paragraphs of every source and backend."""
+    return paragraphs_of(_pages(spark, sf_dir))
+
+
 def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of all transcripts."""
     return speaker_turns(table(spark, sf_dir, "transcripts"), table(spark, sf_dir, "speaker_roster"))
@@ -112,7 +127,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(spark, sf_dir).amounts()
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p3_turns, p3_found, p5_found, p5_article, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p2_paragraphs, p3_turns, p3_found, p5_found, p5_article, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
 
 SQL = {
     "p1_found": """
