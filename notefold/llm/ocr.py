@@ -32,7 +32,7 @@ CUTS = "-¬­‐–‑"
 SHAPES = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("1", "l"), ("i", "l"), ("0", "o"), ("a", "o"), ("5", "s"), ("9", "g"), ("f", "t"), ("c", "e"), ("b", "h"))
 
 _DIGIT = "[0-9OolISsBZgqi|]"
-_NUMBER = rf"(?:[0-9]{_DIGIT}{{0,4}}|{_DIGIT}{{1,3}}[0-9]{_DIGIT}{{0,2}}|[ivxlcIVXLC1|]{{1,7}})"
+_NUMBER = rf"(?:[0-9]{_DIGIT}{{0,4}}|{_DIGIT}{{1,3}}[0-9]{_DIGIT}{{0,2}}|[ivxlcIVXLC1|]{{1,7}}|[OolI|]{{2,4}})"
 PAGE_NO = rf"^\s*(?:([\[(（—·\-–~<]+\s*)?({_NUMBER})(\s*[\])）—·\-–~>]+)?(?:\s*/\s*{_NUMBER})?|(?:[Pp](?:age|\.)|PAGE|[Pp].{{2,3}})\s*{_NUMBER}|第\s*{_NUMBER}\s*[页頁])\s*$"
 CHAPTER = r"^\s*(?:(?i:c[hb][ao]p[tf][ec]r)\s+\S{1,4}\s+\S|第\s*\S{1,4}?\s*章)"
 _CJK = re.compile(r"[一-鿿]")
@@ -88,13 +88,13 @@ def page_edges(pages: DataFrame) -> DataFrame:
     plain = F.col("style") == ""
     is_no = F.col("number") & (F.col("depth") < 2) & (F.col("steady") | roman | ~plain | ((F.col("depth") == 0) & (F.col("decorated") == 0) & ~F.col("line").rlike("[.,%]")))
     bare = F.trim(F.regexp_replace(F.regexp_replace("line", rf"^\s*{_NUMBER}\s{{2,}}", ""), rf"\s{{2,}}{_NUMBER}\s*$", ""))
-    words, capital = F.regexp_count(bare, F.lit(r"[A-Za-z]+")), F.regexp_count(bare, F.lit(r"(?<![A-Za-z\-])[A-Z0-9]"))
+    words, capital = F.regexp_count(bare, F.lit(r"[A-Za-z][A-Za-z\-]*")), F.regexp_count(bare, F.lit(r"(?<![A-Za-z\-])[A-Z0-9]"))
     open_end = ~bare.rlike(r"[.。,，;；!！?？:：、]$") & ~bare.rlike(rf"[{CUTS}]\s*$")
     numbered_line = bare != F.trim(F.col("line"))
-    latin = (words >= 3) & (capital >= 0.6 * words) & ~bare.rlike(r"\. ")
+    latin = (words >= 3) & (capital >= 0.5 * words) & ~bare.rlike(r"\. ")
     chinese = bare.rlike("[一-鿿]") & (F.length(bare) < 0.75 * F.col("wide")) & (F.length(bare) >= 4) & ~bare.rlike("[，。！？]")
     shaped = open_end & (latin | chinese)
-    repeated = F.col("last_page").isNotNull() & ~bare.rlike(r"[.。,，;；!！?？]$") & (latin | chinese | ~bare.rlike(r"[a-z]") | (F.length(bare) < 0.75 * F.col("wide")))
+    repeated = F.col("last_page").isNotNull() & open_end
     starts = F.col("chapter") & (F.col("first_page").isNull() | (F.col("page") == F.col("first_page")))
     is_header = ~F.col("number") & (F.col("depth") < 2) & ~starts & (F.coalesce(F.col("titled"), F.lit(False)) | repeated | shaped | (numbered_line & (latin | bare.rlike("[一-鿿]")) & open_end))
     kind = F.when(is_no, "page_no").when(is_header, "header")
@@ -102,7 +102,8 @@ def page_edges(pages: DataFrame) -> DataFrame:
     told = told.withColumn("kind", kind)
     side = F.when(F.col("at") < EDGE, 0).otherwise(1)
     outer = F.max(F.when((F.col("depth") == 0) & F.col("kind").isNotNull(), 1)).over(Window.partitionBy("page_id", side))
-    return told.withColumn("kind", F.when((F.col("depth") == 0) | (outer == 1), F.col("kind"))).select("page_id", "source", "backend", "page", "n", "at", "line_no", "line", "kind")
+    sure = (F.col("depth") == 0) | (outer == 1) | ((F.col("kind") == "page_no") & ~plain)
+    return told.withColumn("kind", F.when(sure, F.col("kind"))).select("page_id", "source", "backend", "page", "n", "at", "line_no", "line", "kind")
 
 
 class Words:
