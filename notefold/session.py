@@ -52,3 +52,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keep Arrow batches small for operators over whole texts, whose rows may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
