@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from notefold.plans import problems
+from notefold.plans import notes, problems, records
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return notes.QUERIES | records.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return notes.SQL | records.SQL
