@@ -243,8 +243,8 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 def fit_trees(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict | None:
     """Trees fitted in one task on at most ``sample`` pages, those whose ids hash lowest; null where no page has text."""
-    chosen = pages.where("text is not null and trim(text) <> ''").orderBy(F.xxhash64("id"), "id").limit(sample).select("text")
-    rows = chosen.groupBy(F.lit(1)).applyInPandas(_fit, "model string").collect()
+    chosen = pages.where("text is not null and trim(text) <> ''").orderBy(F.xxhash64("id"), "id").limit(sample).select("text", F.lit(0).alias("one"))
+    rows = chosen.groupBy("one").applyInPandas(_fit, "model string").collect()
     return json.loads(rows[0][0]) if rows else None
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,17 +160,18 @@ class History:
 
     def keys(self, buckets: list[int] | None = None) -> DataFrame:
         """The key table, of the given buckets only; buckets that hold nothing yet aren't there."""
-        paths = sorted({p for b, p in self.versions.items() if buckets is None or b in buckets})
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.option("basePath", self.path).schema(self.schema).parquet(*paths)
-        return rows
+        written: dict[str, list[str]] = {}
+        for b, target in self.versions.items():
+            if buckets is None or b in buckets:
+                written.setdefault(target, []).append(f"{target}/bucket={b}")
+        reads = [self.spark.read.option("basePath", t).schema(self.schema).parquet(*sorted(paths)) for t, paths in sorted(written.items())]
+        return reduce(DataFrame.unionByName, reads) if reads else self.spark.createDataFrame([], self.schema)
 
     def _store(self, rows: DataFrame, buckets: list[int]) -> None:
         """Replace the given buckets; each bucket is a folder of its own, written anew beside the old one."""
         target = f"{self.path}/v-{uuid.uuid4().hex}"
         rows.repartition("bucket").sortWithinPartitions("key").write.option("compression", "zstd").partitionBy("bucket").parquet(target)
-        self.versions |= {b: f"{target}/bucket={b}" for b in buckets}
+        self.versions |= dict.fromkeys(buckets, target)
 
     def link(self, own: DataFrame, threshold: float = 0.0) -> None:
         """Add a batch of ``identities``: its keys, what they join, and their first items."""

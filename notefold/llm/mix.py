@@ -87,7 +87,7 @@ def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
         "n_records",
         "n_tokens",
         wanted.alias("wanted_tokens"),
-        (F.col("n_tokens") * F.col("max_repeats") >= wanted).alias("reachable"),
+        ((F.col("n_records") > 0) & (F.col("n_tokens") * F.col("max_repeats") >= wanted)).alias("reachable"),
         F.when(F.col("n_tokens") > 0, F.least(wanted / F.col("n_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0).alias("rate"),
     )
 

@@ -94,7 +94,8 @@ def page_edges(pages: DataFrame) -> DataFrame:
     latin = (words >= 3) & (capital >= 0.5 * words) & ~bare.rlike(r"\. ")
     chinese = bare.rlike("[一-鿿]") & (F.length(bare) < 0.75 * F.col("wide")) & (F.length(bare) >= 4) & ~bare.rlike("[，。！？]")
     shaped = open_end & (latin | chinese)
-    repeated = F.col("last_page").isNotNull() & open_end
+    unbroken = bare.rlike("[一-鿿]") & ~bare.rlike("[，。！？]")
+    repeated = F.col("last_page").isNotNull() & open_end & (latin | unbroken | ~bare.rlike("[a-z一-鿿]") | (F.length(bare) < 0.75 * F.col("wide")))
     starts = F.col("chapter") & (F.col("first_page").isNull() | (F.col("page") == F.col("first_page")))
     is_header = ~F.col("number") & (F.col("depth") < 2) & ~starts & (F.coalesce(F.col("titled"), F.lit(False)) | repeated | shaped | (numbered_line & (latin | bare.rlike("[一-鿿]")) & open_end))
     kind = F.when(is_no, "page_no").when(is_header, "header")
@@ -354,8 +355,8 @@ class PageReader:
             at = m.start()
             for seen, meant in pieces or []:
                 for a, b in zip(seen, meant):
-                    known = a == b and (seen in self.words.all or seen in self.words.tails or seen in self.words.heads)
-                    if not known and owner[at]:
+                    unknown = seen == meant and seen not in self.words.all and seen not in self.words.tails and seen not in self.words.heads
+                    if (a != b or unknown) and owner[at]:
                         noise.add((owner[at], "misread"))
                     signs[at] = b
                     at += 1
