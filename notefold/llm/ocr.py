@@ -156,13 +156,19 @@ class Model:
             self.single[b] += n
             self.follow[a] += n
         self.total, self.size = sum(self.single.values()) + 1, len(self.single) + 1
+        self.costs: dict[tuple[str, str], float] = {}
         self.confusions, self.seen = confusions, Counter()
         for (_, meant), n in confusions.items():
             self.seen[meant] += n
 
     def pair(self, a: str, b: str) -> float:
-        smooth = (self.single[b] + 0.5) / (self.total + self.size)
-        return -math.log((self.pairs.get((a, b), 0) + 4 * smooth) / (self.follow[a] + 4))
+        cost = self.costs.get((a, b))
+        if cost is None:
+            smooth = (self.single[b] + 0.5) / (self.total + self.size)
+            cost = -math.log((self.pairs.get((a, b), 0) + 4 * smooth) / (self.follow[a] + 4))
+            if len(self.costs) < 500_000:
+                self.costs[(a, b)] = cost
+        return cost
 
     def channel(self, wrong: tuple[tuple[str, str], ...]) -> float:
         return sum(5 - math.log((self.confusions.get(p, 0) + 0.1) / (self.seen[p[1]] + 20)) for p in wrong)
@@ -195,7 +201,8 @@ def _han_decode(clause: str, words: Words, model: Model, open_start: bool, open_
                 options[seen] = 0.0
             for k in range(j - i):
                 for w, at in words.blurred.get(seen[:k] + "?" + seen[k + 1 :], ()):
-                    if at == k and w != seen:
+                    # A word of one sign is a candidate only for signs known to be confused with it.
+                    if at == k and w != seen and (len(w) > 1 or (seen, w) in model.confusions):
                         cost = model.channel(((seen[k], w[k]),)) + (6.0 if len(w) == 1 else 0.0)
                         options[w] = min(options.get(w, 1e9), cost)
             if i == 0 and open_start and seen in words.tails:
