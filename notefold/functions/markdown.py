@@ -313,3 +313,15 @@ def merged_sections(markdown: Column) -> Column:
     intro = squeeze_markdown(F.element_at(cut, 1))
     whole = F.array_join(F.filter(F.concat(F.array(intro), pieces), lambda p: strip(p) != ""), "\n\n")
     return F.when(F.size(cut) == 1, squeeze_markdown(markdown)).otherwise(squeeze_markdown(whole))
+
+
+def with_local_assets(markdown: Column, local: Column) -> Column:
+    """Image targets replaced by their local paths (``MAP<STRING, STRING>``); others stay."""
+    pairs = F.map_entries(F.coalesce(local, F.create_map().cast("map<string,string>")))
+    put = lambda text, p: F.replace(text, F.concat(F.lit("]("), p["key"], F.lit(")")), F.concat(F.lit("]("), p["value"], F.lit(")")))
+    return F.aggregate(pairs, markdown, put)
+
+
+def headed(text: Column) -> Column:
+    """``STRUCT<head, rest>``: the first line and what follows, the way recognisers put the source before the words."""
+    return F.struct(strip(F.substring_index(text, "\n", 1)).alias("head"), strip(F.regexp_replace(text, r"^[^\n]*\n?", "")).alias("rest"))

@@ -117,3 +117,9 @@ def test_python_functions(spark):
     assert list(row)[:5] == ["a&b", "x中", hashlib.sha256(json.dumps({"a": [2], "b": 1}).encode()).hexdigest(), "你好", "https://h/x/a&b"] and row[5] == "éü-x_y-z"
     rich = spark.createDataFrame([('{"nodes":[{"text":"a"},{"rich":{"text":"b"}}]}', '{"x":[{"src":"//h/a.png"},{"url":"http://h/a.txt"},{"cover":"//h/a.png"}]}')], "a string, b string")
     assert list(rich.select(P.rich_text("a"), P.image_urls("b")).first()) == ["ab", ["https://h/a.png"]]
+
+
+def test_assets_and_heads(spark):
+    df = spark.createDataFrame([("![a](http://x/1.png) ![b](http://x/2.png)", {"http://x/1.png": "assets/1.png"})], "m string, l map<string,string>")
+    assert df.select(M.with_local_assets(F.col("m"), F.col("l"))).first()[0] == "![a](assets/1.png) ![b](http://x/2.png)"
+    assert tuple(one(spark, "source \nthe words\nmore", M.headed)) == ("source", "the words\nmore")
