@@ -35,7 +35,7 @@ VIDEO = r"(?i:bv)([0-9A-Za-z]{10})(?![0-9A-Za-z])"
 
 #: Fields compared of a candidate and its key's first item. The first three name a source; the others only add evidence.
 FIELDS = ("bvid", "avid", "page", "title", "author", "mid")
-_STATE = "key string, first_item bigint, first_accepted bigint, root string, bvid string, avid string, page string, title string, author string, mid string, bucket int"
+_STATE = "key string, first_item bigint, first_accepted bigint, root string, bvid string, avid string, page bigint, title bigint, author bigint, mid bigint, bucket int"
 
 
 def tidy(value: Column) -> Column:
@@ -43,6 +43,11 @@ def tidy(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.translate(value, FULL_ASCII, HALF_ASCII), r"""^[\s<"']+|[\s>"']+$""", ""), F.lit(""))
 
 
+def _short(value: Column) -> Column:
+    """A value that is only ever compared, as its hash, which is what gets shuffled."""
+    return F.when(value.isNotNull(), F.xxhash64(value))
+
+
 def _selecting(query: Column) -> Column:
     """The parameters of a query string that select content, in order of name."""
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).rlike(TRACKING))
@@ -75,9 +80,7 @@ def identities(items: DataFrame, short_links: DataFrame) -> DataFrame:
         tidy(F.col("bvid")).alias("b"),
         tidy(F.col("avid")).alias("a"),
         page_key(F.col("source_url")).alias("p"),
-        F.lower(F.trim("title")).alias("title"),
-        F.lower(F.trim("author")).alias("author"),
-        F.trim("mid").alias("mid"),
+        *[_short(F.lower(F.trim(f))).alias(f) for f in FIELDS[3:]],
     ).withColumn("short", F.coalesce("p", alone))
     led = with_page.join(small(links, BROADCAST_ROWS), "short", "left").withColumn("p", F.coalesce(page_key(F.col("target")), "p"))
     named = lambda c: F.nullif(F.regexp_extract(c, VIDEO, 1), F.lit(""))
@@ -91,7 +94,8 @@ def identities(items: DataFrame, short_links: DataFrame) -> DataFrame:
 def _keys(own: DataFrame) -> DataFrame:
     """One row per item and key."""
     keys = F.array_compact(F.array(F.concat(F.lit("b:"), "bvid"), F.concat(F.lit("a:"), "avid"), F.concat(F.lit("p:"), "page")))
-    return own.withColumn("key", F.explode(keys)).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    keyed = own.withColumn("key", F.explode(keys)).withColumn("page", _short(F.col("page")))
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
 
 
 def learn_weights(candidates: DataFrame, items: DataFrame, rounds: int = 30) -> dict[str, tuple[float, float]]:
