@@ -78,9 +78,9 @@ def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     own = sized.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_records"))
     joined = t.join(own, "source", "left").na.fill(0, ["n_tokens", "n_records"])
-    total = joined.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
-    wanted = F.col("target_share") * F.col("total")
-    return joined.crossJoin(F.broadcast(total)).select(  # one row
+    total = joined.agg(F.sum("n_tokens")).first()[0] or 0
+    wanted = F.col("target_share") * F.lit(total)
+    return joined.select(
         "source",
         "target_share",
         "max_repeats",
@@ -184,8 +184,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
     mixed = materialise(done, "mix")
     reached = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
     report = plan.drop("rate").join(F.broadcast(reached), "source", "left").na.fill(0, ["mixed_tokens"])
-    total = F.broadcast(reached.agg(F.sum("mixed_tokens").alias("all_tokens")))
-    report = report.crossJoin(total).withColumn("share_reached", F.when(F.col("all_tokens") > 0, F.col("mixed_tokens") / F.col("all_tokens")).otherwise(0.0)).drop("all_tokens")
+    total = reached.agg(F.sum("mixed_tokens")).first()[0] or 0
+    report = report.withColumn("share_reached", F.col("mixed_tokens") / F.lit(float(max(total, 1))))
     return mixed.where("copies > 0"), report
 
 

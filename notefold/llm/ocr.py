@@ -244,10 +244,11 @@ class PageReader:
         han = [bool(_CJK.search(line)) for _, line in body]
         if any(han):
             self._read_han([b for b, h in zip(body, han) if h], before, after, noise, fixed)
-        latin = [b for b, h in zip(body, han) if not h]
+        # Lines of figures only stand between the two parts of a cut word without being either.
+        latin = [b for b, h in zip(body, han) if not h and re.search("[A-Za-z]", b[1])]
         carried = ""
         if before is not None and before.rstrip()[-1:] in tuple(CUTS) and not _CJK.search(before):
-            carried = before.rstrip()[:-1].split()[-1:] and before.rstrip()[:-1].split()[-1] or ""
+            carried = (before.rstrip()[:-1].split() or [""])[-1]
         for k, (no, line) in enumerate(latin):
             nxt = latin[k + 1][1] if k + 1 < len(latin) else (after if after is not None and not _CJK.search(after) else None)
             first_of_page = k == 0 and bool(body) and body[0][0] == no

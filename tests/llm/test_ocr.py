@@ -14,6 +14,10 @@ def test_cut_words():
     assert paragraphs[0][1].replace("\u0001", "").strip() == "the harbour was quiet and the half-finished boats in the winter"
 
 
+def test_figures_between_the_parts_of_a_word():
+    assert read("the har-\n18,712\n18.6%\nbour was quiet")[0] == {(1, "hyphen")}
+
+
 def test_cut_words_over_pages():
     assert read("the har-", after="bour was quiet")[0] == {(1, "hyphen")}
     assert read("bour was quiet", before="the har-")[0] == set()
