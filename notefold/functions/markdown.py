@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from notefold.functions.text import WS, blank_as_null, first_filled, heading, is_external, padded, squeeze_markdown, stem, strip, without_details, yaml_scalar
+from notefold.functions.text import WS, blank_as_null, first_filled, heading, is_external, let, padded, squeeze_markdown, stem, strip, without_details, yaml_scalar
 
 # Order of known frontmatter fields, titles of raw-text sections, kinds of note by source, file prefixes.
 FIELD_ORDER = (
@@ -304,15 +304,22 @@ def table(rows: Column) -> Column:
 def merged_sections(markdown: Column) -> Column:
     """Level-two sections of one title as one, at the first's place, their distinct texts in order; the intro stays ahead."""
     text = F.regexp_replace(markdown, "\r\n|\r", "\n")
-    cut = F.split(F.concat(F.lit("\n"), text), r"\n(?=## )")
     body = lambda part: squeeze_markdown(F.regexp_replace(part, r"^[^\n]*\n?", ""))
-    parts = F.transform(F.slice(cut, 2, 1 << 30), lambda p: F.struct(F.substring_index(p, "\n", 1).alias("t"), body(p).alias("b")))
-    titles = F.array_distinct(F.transform(parts, lambda p: p["t"]))
-    texts = lambda t: F.array_join(F.array_distinct(F.filter(F.transform(F.filter(parts, lambda p: p["t"] == t), lambda p: p["b"]), lambda b: b != "")), "\n\n")
-    pieces = F.flatten(F.transform(titles, lambda t: F.array(t, texts(t))))
-    intro = squeeze_markdown(F.element_at(cut, 1))
-    whole = F.array_join(F.filter(F.concat(F.array(intro), pieces), lambda p: strip(p) != ""), "\n\n")
-    return F.when(F.size(cut) == 1, squeeze_markdown(markdown)).otherwise(squeeze_markdown(whole))
+    named = lambda p: F.struct(F.substring_index(p, "\n", 1).alias("t"), body(p).alias("b"))
+
+    def texts(parts: Column, title: Column) -> Column:
+        own = F.transform(F.filter(parts, lambda p: p["t"] == title), lambda p: p["b"])
+        return F.array_join(F.array_distinct(F.filter(own, lambda b: b != "")), "\n\n")
+
+    def whole(cut: Column) -> Column:
+        pieces = let(
+            F.transform(F.slice(cut, 2, 1 << 30), named),
+            lambda parts: F.flatten(F.transform(F.array_distinct(F.transform(parts, lambda p: p["t"])), lambda t: F.array(t, texts(parts, t)))),
+        )
+        joined = F.array_join(F.filter(F.concat(F.array(squeeze_markdown(F.element_at(cut, 1))), pieces), lambda p: strip(p) != ""), "\n\n")
+        return F.when(F.size(cut) == 1, squeeze_markdown(markdown)).otherwise(squeeze_markdown(joined))
+
+    return let(F.split(F.concat(F.lit("\n"), text), r"\n(?=## )"), whole)
 
 
 def with_local_assets(markdown: Column, local: Column) -> Column:

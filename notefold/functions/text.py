@@ -23,6 +23,14 @@ EXTENSIONS = {
 YES = ("1", "true", "yes", "y", "on")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it.
+
+    Inside higher-order functions nothing is shared between the uses of an expression, so this matters there.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")

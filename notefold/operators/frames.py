@@ -24,12 +24,12 @@ def visible_part(markdown: Column) -> Column:
 
 def scored_blocks(markdown: Column) -> Column:
     """Blocks of 18 signs or more with score, number and the heading above: ``ARRAY<STRUCT<score, idx, heading, text>>``."""
-    numbered = F.transform(blocks(visible_part(markdown)), lambda b, i: F.struct(i.alias("idx"), b.alias("b")))
     plain = lambda b: strip(F.regexp_replace(F.regexp_replace(b, r"[`>*_\[\]()]", ""), r"\s+", " "))
+    numbered = F.transform(blocks(visible_part(markdown)), lambda b, i: F.struct(i.alias("idx"), b.alias("b"), plain(b).alias("plain")))
     start = F.struct(F.lit(DEFAULT_HEADING).alias("heading"), F.array().cast(_POINT).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        is_heading, text = x["b"].startswith("#"), plain(x["b"])
+        is_heading, text = x["b"].startswith("#"), x["plain"]
         named = F.coalesce(blank_as_null(strip(F.regexp_replace(x["b"], r"^#+\s*", ""))), acc["heading"])
         score = F.least(F.length(text), F.lit(240)) / F.lit(80.0) + F.when(text.rlike(POINT), 2.0).otherwise(0.0) + F.when(text.rlike(r"\d|：|:"), 1.0).otherwise(0.0)
         point = F.struct(score.alias("score"), x["idx"].cast("int").alias("idx"), acc["heading"].alias("heading"), F.substring(text, 1, 110).alias("text"))

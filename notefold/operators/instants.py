@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notefold.session import materialise, small
+from notefold.session import materialise, small, spread
 
 # English month names by their first three letters, and the date orders of all-numeric dates.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -226,7 +226,7 @@ def to_instants(
     known = sorted(str(z) for z in df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
     m = machines.select(F.col("machine").alias("source"), F.col("zone").alias("zone"), F.col("date_order").alias("date_order"))
     m = small(m.groupBy("source").agg(F.min_by("zone", F.coalesce("zone", F.lit(""))).alias("zone"), F.min_by("date_order", F.coalesce("zone", F.lit(""))).alias("date_order")), BROADCAST_ROWS)
-    long = df.select(
+    long = spread(df, id_col).select(
         F.col(id_col).cast("bigint").alias("id"),
         F.col(machine).alias("source"),
         F.col(order_by).cast("timestamp_ntz").alias("at"),

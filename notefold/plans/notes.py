@@ -12,7 +12,7 @@ from notefold.functions.python_text import json_scalar, safe_name, unescaped
 from notefold.operators import conversation as C
 from notefold.operators import manifest, models, pages, terms, validate
 from notefold.operators.chunk import chunks, page_packs
-from notefold.session import table
+from notefold.session import spread, table
 
 #: Day that stands for today where nothing names one: queries read no clock.
 TODAY = "2026-01-01"
@@ -31,7 +31,7 @@ def _lines(x: str) -> str:
 
 def note_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per note: title, kind, size, hash, links, local assets."""
-    n, body = table(spark, sf_dir, "notes"), F.coalesce("body", F.lit(""))
+    n, body = spread(table(spark, sf_dir, "notes"), "note_id"), F.coalesce("body", F.lit(""))
     return n.select(
         "note_id",
         "path",
@@ -51,7 +51,7 @@ def note_index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "notes").where("body is not null")
+    n = spread(table(spark, sf_dir, "notes"), "note_id").where("body is not null")
     h = lambda c: F.substring(F.sha2(c, 256), 1, 16)
     b = F.col("body")
     return n.select("note_id", h(T.clean_text(b)).alias("cleaned"), h(T.tidy_markdown(b)).alias("tidied"), h(T.squeeze_markdown(b)).alias("squeezed"), h(T.compact(b)).alias("compacted"))
@@ -68,7 +68,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "notes")
+    n = spread(table(spark, sf_dir, "notes"), "note_id")
     kind = M.source_type(F.col("source_type"), F.col("source_url"), F.col("path"), F.col("body"))
     return n.select(
         "note_id",
@@ -98,20 +98,20 @@ def frontmatter_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frontmatter_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields read back from rendered notes, and the body behind them."""
-    n = _with_frontmatter(table(spark, sf_dir, "notes"))
+    n = _with_frontmatter(spread(table(spark, sf_dir, "notes"), "note_id"))
     fields = M.frontmatter_fields(F.col("markdown"))
     return n.select("note_id", F.size(fields).alias("n_fields"), M.frontmatter_value(F.col("markdown"), "status").alias("status"), F.length(M.body_of(F.col("markdown"))).alias("body_size"))
 
 
 def sections_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each note's body twice in a row, its equal sections merged."""
-    n = table(spark, sf_dir, "notes").where("body is not null and length(body) < 1000000")
+    n = spread(table(spark, sf_dir, "notes"), "note_id").where("body is not null and length(body) < 1000000")
     merged = M.merged_sections(F.concat("body", F.lit("\n\n"), "body"))
     return n.select("note_id", F.sha2(merged, 256).alias("merged_hash"), F.length(merged).alias("size"))
 
 
 def headings_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "notes").where("body is not null")
+    n = spread(table(spark, sf_dir, "notes"), "note_id").where("body is not null")
     return n.select("note_id", F.sha2(M.demoted(F.col("body")), 256).alias("demoted_hash"), T.heading(F.col("body")).alias("first_heading"))
 
 
@@ -172,7 +172,7 @@ def sampled_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each reference term occurs in."""
-    d, t = table(spark, sf_dir, "documents"), table(spark, sf_dir, "ocr_lexicon").where("length(word) > 1")
+    d, t = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "ocr_lexicon").where("length(word) > 1")
     return terms.names_in(d, "doc_id", "text", t, "word").groupBy("name").agg(F.count("*").alias("documents"))
 
 
@@ -213,14 +213,14 @@ def pages_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def organised_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes organised chunk by chunk and combined in a tree, by the deterministic stand-in of a model."""
-    n = table(spark, sf_dir, "notes").where("trim(body) <> ''")
+    n = spread(table(spark, sf_dir, "notes"), "note_id").where("trim(body) <> ''")
     done = models.organised(n, "note_id", "body", models.EchoModel, 4_000, 400, 2_000)
     return done.select(F.col("id").alias("note_id"), "n_chunks", "n_failed", F.length("text").alias("size"))
 
 
 def html_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents wrapped as web pages and read back as blocks."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").where("text is not null")
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     page = F.concat(F.lit("<html><head><title>t</title></head><body><nav>n</nav><article><p>"), F.regexp_replace(escaped, r"\n\s*\n", "</p><p>"), F.lit("</p></article></body></html>"))
     read = d.select("doc_id", html_blocks(page, F.lit("https://x.example/")).alias("b"), html_metadata(page, F.lit("https://x.example/")).alias("m"))

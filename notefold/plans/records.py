@@ -9,7 +9,7 @@ from notefold.functions import markdown as M
 from notefold.functions import text as T
 from notefold.operators import frames, manifest
 from notefold.sources.files import cue_text, last_structured, scanned_entries
-from notefold.session import table
+from notefold.session import spread, table
 
 STATUSES = ["converted", "failed", "skipped"]
 
@@ -198,7 +198,7 @@ def frames_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-scored blocks of each document with the heading above."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").where("text is not null")
     points = d.select("doc_id", frames.scored_blocks(F.col("text")).alias("p"), F.size(M.blocks(frames.visible_part(F.col("text")))).alias("n"))
     best = points.select("doc_id", F.explode(frames.spaced_best(F.col("p"), F.col("n"), 5)).alias("p"))
     return best.select("doc_id", "p.idx", F.round("p.score", 4).alias("score"), "p.heading")

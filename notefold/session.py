@@ -61,6 +61,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer partitions than there are cores, spread over them before costly work by row; others stay as they are.
+
+    Only small inputs are ever shuffled by this: a large one has more splits than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
