@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.llm.trees import BoostedTrees
-from notefold.session import bounded_batches
+from notefold.session import bounded_batches, spread
 
 #: Pages that the trees are fitted on at most.
-SAMPLE_PAGES = 1500
+SAMPLE_PAGES = 800
 
 # Words that tell of a page's furniture, by what they tell of.
 CUES = {
@@ -255,7 +255,7 @@ def strip_boilerplate(pages: DataFrame, id_col: str = "note_id", text_col: str =
     have no lines; repeated rows give repeated lines; other columns are left out.
     """
     bounded_batches(pages.sparkSession, 256)
-    own = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    own = spread(pages, id_col).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     model = model or fit_trees(own)
     if model is None:
         return own.sparkSession.createDataFrame([], "id bigint, line_no int, line string")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.llm.tokens import VOCABULARY, counter
-from notefold.session import bounded_batches, materialise
+from notefold.session import bounded_batches, materialise, spread
 
 #: Unsettled records of a source that one task of the reduction tree takes.
 FAN_IN = 64
@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": [count(t) if t else 0 for t in batch["text"]]})
 
-    return materialise(docs.select("doc_id", "source", "text").mapInPandas(tokenise, "doc_id bigint, source string, n_tokens bigint"), "tokens")
+    return materialise(spread(docs, "doc_id").select("doc_id", "source", "text").mapInPandas(tokenise, "doc_id bigint, source string, n_tokens bigint"), "tokens")
 
 
 def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:

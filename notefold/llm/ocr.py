@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notefold.session import bounded_batches, materialise, small
+from notefold.session import bounded_batches, materialise, small, spread
 
 #: Outermost lines of a page that are looked at; rows up to which a side table is broadcast; words a lexicon may have.
 EDGE, BROADCAST_ROWS, MAX_WORDS = 3, 100_000, 20_000
@@ -452,7 +452,7 @@ def repair_pages(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     words = [r["word"] for r in lexicon.where("word is not null").select(F.lower("word").alias("word")).distinct().limit(MAX_WORDS + 1).collect()]
     if len(words) > MAX_WORDS:
         raise ValueError(f"the lexicon has more than {MAX_WORDS} words")
-    own = pages.select("page_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("backend", F.lit("")).alias("backend"), F.col("page").cast("int").alias("page"), "text")
+    own = spread(pages, "page_id").select("page_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("backend", F.lit("")).alias("backend"), F.col("page").cast("int").alias("page"), "text")
     own = own.where("text is not null and trim(text) <> ''")
     edges = materialise(page_edges(own), "edges")
     model = learn_model(own, words)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.llm.tokens import VOCABULARY, counter
-from notefold.session import bounded_batches, materialise
+from notefold.session import bounded_batches, materialise, spread
 
 #: Open containers that one task of the reduction tree takes, how many partitions merge into one, and the fill from which
 #: a container counts as closed.
@@ -91,7 +91,7 @@ def pack_texts(docs: DataFrame, capacity: int, vocabulary: str = VOCABULARY, id_
                     rows.append((doc, i + 1, parts, i * capacity, size, base | packer.place(size) if size else None))
             yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "n_pieces", "token_start", "n_tokens", "bin"]).astype({"bin": "Int64"})
 
-    placed = materialise(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(tokenise, schema), "placed")
+    placed = materialise(spread(docs, id_col).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(tokenise, schema), "placed")
     bins = placed.where("bin is not null").groupBy("bin").agg(F.sum("n_tokens").alias("size"))
     closed = int(capacity * CLOSED)
     opened = materialise(bins.where(F.col("size") < closed), "open")

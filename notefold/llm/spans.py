@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notefold.llm.fmindex import FMIndex
-from notefold.session import bounded_batches, materialise, small
+from notefold.session import bounded_batches, materialise, small, spread
 
 #: Code points of an n-gram, as a part of the least length; contexts per shard; code points hashed at once.
 GRAM_PART, SHARD_CONTEXTS, CHUNK = 0.6, 20_000, 4_000_000
@@ -181,7 +181,7 @@ class SharedSpans:
             raise ValueError("the least length must be 8 or more")
         bounded_batches(docs.sparkSession)
         self.least, gram = least, max(4, int(least * GRAM_PART))
-        self.docs = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= least)
+        self.docs = spread(docs, id_col).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= least)
         keyed = self.docs.select("doc", F.md5("text").alias("digest"), F.length("text").alias("n"))
         classes = keyed.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("members")).where("members > 1").drop("members")
         self.copies = materialise(keyed.join(materialise(classes, "classes"), ["digest", "n"]).select(F.col("doc").alias("doc_id"), "rep").distinct(), "copies")

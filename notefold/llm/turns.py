@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.session import bounded_batches, small
+from notefold.session import bounded_batches, small, spread
 
 # Words of roles and voice numbers, courtesy words behind a name, sounds of hesitation and filler phrases.
 ROLES = {
@@ -216,7 +216,7 @@ def speaker_turns(transcripts: DataFrame, roster: DataFrame) -> DataFrame:
     bounded_batches(transcripts.sparkSession, 128)
     schema = "transcript_id bigint, turn_no int, speaker string, start_second double, words string, transcript_source string"
     own = roster.where("speaker is not null").groupBy("transcript_id").agg(F.array_sort(F.collect_set(F.struct("speaker_no", "speaker", "speaker_role"))).alias("roster"))
-    joined = transcripts.select("transcript_id", "transcript_source", "transcript_text").where("transcript_text is not null").join(small(own, 20_000), "transcript_id")
+    joined = spread(transcripts, "transcript_id").select("transcript_id", "transcript_source", "transcript_text").where("transcript_text is not null").join(small(own, 20_000), "transcript_id")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
