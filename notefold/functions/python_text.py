@@ -22,6 +22,28 @@ def unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
 
 
+def merged_sections_text(markdown: str) -> str:
+    """``markdown.merged_sections`` of one text, in time linear in its sections."""
+    squeezed = lambda t: re.sub("\n{3,}", "\n\n", re.sub("\r\n|\r", "\n", t)).strip()
+    intro, *parts = re.split(r"\n(?=## )", "\n" + re.sub("\r\n|\r", "\n", markdown))
+    if not parts:
+        return squeezed(markdown)
+    merged: dict[str, dict[str, None]] = {}  # both in order of first sight
+    for part in parts:
+        title, _, rest = part.partition("\n")
+        texts = merged.setdefault(title, {})
+        if body := squeezed(rest):
+            texts[body] = None
+    pieces = [squeezed(intro), *(p for title, texts in merged.items() for p in (title, "\n\n".join(texts)))]
+    return squeezed("\n\n".join(p for p in pieces if p.strip()))
+
+
+@F.pandas_udf(StringType())
+def long_merged_sections(text: pd.Series) -> pd.Series:
+    """Merged sections of long texts, for which the JVM expression's time grows as the square of the sections."""
+    return text.map(lambda t: merged_sections_text(t) if isinstance(t, str) else None)
+
+
 @F.pandas_udf(StringType())
 def safe_name(text: pd.Series) -> pd.Series:
     """A name of letters, digits and hyphens, composed, 60 code points at most."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from notefold.functions import markdown as M
 from notefold.functions import text as T
 from notefold.functions.html import html_blocks, html_metadata
-from notefold.functions.python_text import json_scalar, safe_name, unescaped
+from notefold.functions.python_text import json_scalar, long_merged_sections, safe_name, unescaped
 from notefold.operators import conversation as C
 from notefold.operators import manifest, models, pages, terms, validate
 from notefold.operators.chunk import chunks, page_packs
@@ -17,6 +17,9 @@ from notefold.session import spread, table
 #: Day that stands for today where nothing names one: queries read no clock.
 TODAY = "2026-01-01"
 
+#: Code points beyond which a body's sections are merged in Python, in linear time; no body is left out.
+LONG_BODY = 100_000
+
 # White space as DuckDB's and the JVM's expressions both know it, for the SQL below.
 W = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -104,10 +107,12 @@ def frontmatter_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each note's body twice in a row, its equal sections merged."""
-    n = spread(table(spark, sf_dir, "notes"), "note_id").where("body is not null and length(body) < 1000000")
-    merged = M.merged_sections(F.concat("body", F.lit("\n\n"), "body"))
-    return n.select("note_id", F.sha2(merged, 256).alias("merged_hash"), F.length(merged).alias("size"))
+    """Each note's body twice in a row, its equal sections merged; bodies beyond ``LONG_BODY`` in Arrow batches."""
+    n = spread(table(spark, sf_dir, "notes"), "note_id").where("body is not null")
+    twice = F.concat("body", F.lit("\n\n"), "body")
+    is_long = F.length("body") > LONG_BODY
+    merged = n.where(~is_long).select("note_id", M.merged_sections(twice).alias("merged")).unionByName(n.where(is_long).select("note_id", long_merged_sections(twice).alias("merged")))
+    return merged.select("note_id", F.sha2("merged", 256).alias("merged_hash"), F.length("merged").alias("size"))
 
 
 def headings_demoted(spark: SparkSession, sf_dir: str) -> DataFrame:
