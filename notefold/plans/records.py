@@ -69,11 +69,17 @@ def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches by how many of their items failed, the most first: the ten worst, the report's length."""
+    """The ten batches of which the most items failed; ``manifest_attention_all`` has every batch."""
     m = table(spark, sf_dir, "manifest_items").groupBy("batch_no").agg(F.count_if(F.col("status") == "failed").alias("attention"), F.count("*").alias("items"))
     return m.orderBy(F.desc("attention"), F.asc("batch_no")).limit(10)
 
 
+def manifest_attention_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches by how many of their items failed or have to be built again, the most first."""
+    m = table(spark, sf_dir, "manifest_items").groupBy("batch_no").agg(F.count_if(F.col("status").isin("failed", "rebuild")).alias("attention"), F.count("*").alias("items"))
+    return m.orderBy(F.desc("attention"), F.asc_nulls_last("batch_no"))
+
+
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "manifest_items")
     return m.groupBy("batch_no").agg(
@@ -223,7 +229,7 @@ def running_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        durations, published_iso, url_parts, new_entries, manifest_upsert, manifest_upsert_three, manifest_upsert_keyed, manifest_status, manifest_attention,
+        durations, published_iso, url_parts, new_entries, manifest_upsert, manifest_upsert_three, manifest_upsert_keyed, manifest_status, manifest_attention, manifest_attention_all,
         batch_summary, not_converted, best_output, drafts_backfilled, drafts_archived, transcript_sources, chosen_transcripts, cue_lines, scanner_entries,
         last_results, recent_history, merged_options, snapshot_changes, grid_table, sheet_columns, frame_stats, frames_chosen, moments, thinned_times, running_jumps,
     )
@@ -268,6 +274,7 @@ SQL = {
     "manifest_status": """SELECT source_type, grouping(source_type) = 1 AS is_total, count(*) AS items, count(*) FILTER (status = 'converted') AS converted, count(*) FILTER (status = 'failed') AS failed,
         count(*) FILTER (status = 'skipped') AS skipped FROM manifest_items GROUP BY ROLLUP (source_type)""",
     "manifest_attention": "SELECT batch_no, count(*) FILTER (status = 'failed') AS attention, count(*) AS items FROM manifest_items GROUP BY batch_no ORDER BY attention DESC, batch_no LIMIT 10",
+    "manifest_attention_all": "SELECT batch_no, count(*) FILTER (status IN ('failed', 'rebuild')) AS attention, count(*) AS items FROM manifest_items GROUP BY batch_no ORDER BY attention DESC, batch_no",
     "batch_summary": """SELECT batch_no, count(*) AS total, count(*) FILTER (status = 'converted') AS converted, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
         sum(coalesce(length(error), 0)) AS error_signs, max(loaded_at) - min(converted_at) > INTERVAL 1 DAY AS is_late FROM manifest_items GROUP BY batch_no""",
     "not_converted": "SELECT DISTINCT source_path FROM manifest_items WHERE source_path IS NOT NULL AND source_path NOT IN (SELECT source_path FROM manifest_items WHERE status = 'converted' AND source_path IS NOT NULL)",
