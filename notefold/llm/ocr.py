@@ -29,6 +29,7 @@ EDGE, BROADCAST_ROWS, MAX_WORDS = 3, 100_000, 20_000
 # Signs that cut a word at a line's end, and shapes that printing and recognition confuse (for comparing
 # running heads only; the channel's confusions are learned).
 CUTS = "-¬­‐–‑"
+STOPS = "，。、；：！？"
 SHAPES = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("1", "l"), ("i", "l"), ("0", "o"), ("a", "o"), ("5", "s"), ("9", "g"), ("f", "t"), ("c", "e"), ("b", "h"))
 
 _DIGIT = "[0-9OolISsBZgqi|]"
@@ -157,6 +158,10 @@ class Model:
             self.follow[a] += n
         self.total, self.size = sum(self.single.values()) + 1, len(self.single) + 1
         self.costs: dict[tuple[str, str], float] = {}
+        self.known: dict[str, list[str]] = {}  # a word's predecessors in counted pairs
+        for a, b in pairs:
+            self.known.setdefault(b, []).append(a)
+        self.options: dict[str, dict[str, float]] = {}
         self.confusions, self.seen = confusions, Counter()
         for (_, meant), n in confusions.items():
             self.seen[meant] += n
@@ -170,6 +175,13 @@ class Model:
                 self.costs[(a, b)] = cost
         return cost
 
+    def lead(self, a: str) -> float:
+        """``a``'s part of the cost of an uncounted pair, which is ``lead(a) + alone(b)``."""
+        return math.log(self.follow[a] + 4)
+
+    def alone(self, b: str) -> float:
+        return -math.log(4 * (self.single[b] + 0.5) / (self.total + self.size))
+
     def channel(self, wrong: tuple[tuple[str, str], ...]) -> float:
         return sum(5 - math.log((self.confusions.get(p, 0) + 0.1) / (self.seen[p[1]] + 20)) for p in wrong)
 
@@ -187,32 +199,50 @@ def _viterbi(slots: list[list[tuple[str, float]]], model: Model, before: str = "
     return list(min(best.values())[1]) if best else []
 
 
-def _han_decode(clause: str, words: Words, model: Model, open_start: bool, open_end: bool) -> list[tuple[str, str]] | None:
-    """Viterbi over the lattice of lexicon words, each with one confused sign at most: ``(seen, meant)`` pieces."""
+def _han_options(seen: str, words: Words, model: Model) -> dict[str, float]:
+    """Lexicon words that ``seen`` may mean, with one confused sign at most, and their channel costs."""
+    options = model.options.get(seen)
+    if options is None:
+        options = {seen: 0.0} if seen in words.all else {}
+        for k in range(len(seen)):
+            for w, at in words.blurred.get(seen[:k] + "?" + seen[k + 1 :], ()):
+                if at == k and w != seen:
+                    cost = model.channel(((seen[k], w[k]),)) + (6.0 if len(w) == 1 else 0.0)
+                    options[w] = min(options.get(w, 1e9), cost)
+        if len(model.options) < 200_000:
+            model.options[seen] = options
+    return options
+
+
+def _han_decode(clause: str, words: Words, model: Model, open_start: bool, open_end: bool, cut_start: bool = False, cut_end: bool = False) -> list[tuple[str, str]] | None:
+    """Viterbi over the lattice of lexicon words, each with one confused sign at most: ``(seen, meant)`` pieces.
+
+    ``cut_start``, ``cut_end``: a word may be cut there. A sign there that ends or begins a lexicon word is then the rest of
+    a cut word rather than a misread word of one sign, unless that confusion is known.
+
+    Of the words before, only those counted with a word are tried one by one: a counted pair costs less than it would
+    uncounted, and the best of the uncounted is the same for every word that follows.
+    """
     n = len(clause)
     best: list[dict[str, tuple[float, tuple]]] = [{} for _ in range(n + 1)]
     best[0][""] = (0.0, ())
     for i in range(n):
-        if not best[i]:
+        here = best[i]
+        if not here:
             continue
+        least, least_path = min((s + model.lead(a), p) for a, (s, p) in here.items())
         for j in range(i + 1, min(n, i + words.longest) + 1):
-            seen, options = clause[i:j], {}
-            if seen in words.all:
-                options[seen] = 0.0
-            for k in range(j - i):
-                for w, at in words.blurred.get(seen[:k] + "?" + seen[k + 1 :], ()):
-                    # A word of one sign is a candidate only for signs known to be confused with it.
-                    if at == k and w != seen and (len(w) > 1 or (seen, w) in model.confusions):
-                        cost = model.channel(((seen[k], w[k]),)) + (6.0 if len(w) == 1 else 0.0)
-                        options[w] = min(options.get(w, 1e9), cost)
-            if i == 0 and open_start and seen in words.tails:
-                options.setdefault(seen, 4.0)
-            if j == n and open_end and seen in words.heads:
-                options.setdefault(seen, 4.0)
-            if j == i + 1:
-                options.setdefault(seen, 25.0)  # an unknown sign stays as it is
+            seen = clause[i:j]
+            options = _han_options(seen, words, model)
+            if j == i + 1 and (i == 0 and cut_start and seen in words.tails or j == n and cut_end and seen in words.heads):
+                options = {w: c for w, c in options.items() if w == seen or (seen, w) in model.confusions}
+            at_edge = i == 0 and open_start and seen in words.tails or j == n and open_end and seen in words.heads
+            if seen not in options and (at_edge or j == i + 1):
+                options = options | {seen: 4.0 if at_edge else 25.0}  # an unknown sign stays as it is
             for word, cost in options.items():
-                score, path = min((s + model.pair(a, word) + cost, p) for a, (s, p) in best[i].items())
+                known = model.known.get(word, ())
+                both = (a for a in known if a in here) if len(known) < len(here) else (a for a in here if (a, word) in model.pairs)
+                score, path = min([(least + model.alone(word) + cost, least_path), *((here[a][0] + model.pair(a, word) + cost, here[a][1]) for a in both)])
                 if word not in best[j] or score < best[j][word][0]:
                     best[j][word] = (score, (*path, (seen, word)))
     return list(min(best[n].values())[1]) if best[n] else None
@@ -359,7 +389,9 @@ class PageReader:
             if self.words.cover.fullmatch(clause):
                 continue
             open_start, open_end = m.start() == 0 and not head and before is None or m.start() == 0 and bool(head), m.end() == len(stream)
-            pieces = _han_decode(clause, self.words, self.model, open_start, open_end)
+            cut_start = m.start() == 0 and (bool(head) or strip(before or "")[-1:] not in tuple(STOPS))
+            cut_end = m.end() == len(stream) and (bool(tail) or strip(after or "")[:1] not in tuple(STOPS))
+            pieces = _han_decode(clause, self.words, self.model, open_start, open_end, cut_start, cut_end)
             at = m.start()
             for seen, meant in pieces or []:
                 for a, b in zip(seen, meant):
