@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notefold.llm.boilerplate import strip_boilerplate
-from notefold.llm.dedup import link_items
+from notefold.llm.dedup import link_items, split_batches
 from notefold.llm.mix import mix_sources
 from notefold.llm.ocr import noise_of, paragraphs_of, repair_pages
 from notefold.llm.pack import fill_report, pack_texts
@@ -78,6 +78,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_items(table(spark, sf_dir, "manifest_items"), table(spark, sf_dir, "short_links"))
 
 
+def p6_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item as new (null ``first_item_id``) or as a repeat, with the score of the link."""
+    return split_batches(table(spark, sf_dir, "manifest_items"), table(spark, sf_dir, "short_links"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of all documents."""
     return pack_texts(table(spark, sf_dir, "documents"), _limit(spark, sf_dir, "container"))
@@ -127,7 +132,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(spark, sf_dir).amounts()
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p2_paragraphs, p3_turns, p3_found, p5_found, p5_article, p6_found, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p2_paragraphs, p3_turns, p3_found, p5_found, p5_article, p6_found, p6_split, p7_containers, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_found, p9_spans, p9_amounts)}
 
 SQL = {
     "p1_found": """
