@@ -56,7 +56,7 @@ def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's number and speaker."""
-    return p3_turns(spark, sf_dir).select("transcript_id", "turn_no", "speaker")
+    return p3_turns(spark, sf_dir).where("speaker is not null").select("transcript_id", F.col("known_no").alias("turn_no"), "speaker")
 
 
 def _web(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,26 @@ def test_clean_words():
     assert clean_words("（停顿） 呃……") == "" and clean_words("uh, uh") == ""
 
 
+def test_no_word_of_speech_goes():
+    for words in (
+        "what kind of thing do you know about it", "That is what I mean by that", "as far as you know, it holds", "the figure (forty two) was read", "第二个（也就是四十二）读过了",
+        "a *very* good [forty two] thing", "那个讲座然后呢就停了", "the music (he said so) was loud", "the hum of the ohm meter",
+    ):
+        assert clean_words(words) == words
+    assert clean_words("You know, it works, I mean, mostly. Sort of.") == "it works, mostly. ."
+    assert clean_words("the sort of, abundant reed") == "the abundant reed" and clean_words("[door closes] Yes (loud laughter).") == "Yes ."
+    assert clean_words("（热烈的掌声）好") == "好" and clean_words("<i>so</i> it is") == "so it is"
+
+
+def test_speech_nobody_can_be_named_for_is_kept():
+    assert said("Welcome to the show everyone.\nAna Belmont: hello") == [(None, "Welcome to the show everyone."), ("Ana Belmont", "hello")]
+    assert said("Ana: hello\nStranger: who are you\nAna: me") == [("Ana Belmont", "hello"), (None, "who are you"), ("Ana Belmont", "me")]
+    assert said("Ana: hello\n[SPEAKER_09] hi\nGreat Britain: an island") == [("Ana Belmont", "hello"), (None, "hi an island")]
+    assert said("Hello.", []) == [(None, "Hello.")]
+
+
 def test_sources():
+    assert canonical_source(None, "\n" * 500 + "本地SRT字幕\n1\n") == "本地srt字幕"
     assert canonical_source(" Whisper-base（MLX） ", "x") == "whisper-base (mlx)"
     assert canonical_source("unknown", "本地SRT字幕\n1\n") == "本地srt字幕" and canonical_source(None, "hi there.") is None
 
@@ -41,6 +60,8 @@ def test_sources():
 def test_table(spark):
     t = spark.createDataFrame([(1, None, "Ana: Hi."), (2, None, None), (3, None, "  "), (4, "s", "x" * 50_000), (5, None, "Ana: Hi."), (1, None, "Ana: Hi.")], "transcript_id bigint, transcript_source string, transcript_text string")
     r = spark.createDataFrame([(i, *p) for i in (1, 2, 3) for p in PEOPLE] + [(4, 1, "Solo", None), (4, 1, "Solo", None)], "transcript_id bigint, speaker_no int, speaker string, speaker_role string")
-    got = sorted((x["transcript_id"], x["turn_no"], x["speaker"]) for x in speaker_turns(t, r).collect())
-    assert got == [(1, 1, "Ana Belmont"), (1, 1, "Ana Belmont"), (4, 1, "Solo")]
-    assert speaker_turns(t.limit(0), r).count() == 0 and speaker_turns(t, r.limit(0)).count() == 0
+    got = sorted(((x["transcript_id"], x["turn_no"], x["speaker"]) for x in speaker_turns(t, r).collect()), key=str)
+    assert [x for x in got if x[0] != 5] == [(1, 1, "Ana Belmont"), (1, 1, "Ana Belmont"), (4, 1, "Solo")] and [x for x in got if x[0] == 5] == [(5, 1, None)]
+    assert speaker_turns(t.limit(0), r).count() == 0
+    alone = speaker_turns(t, r.limit(0)).collect()
+    assert {x["transcript_id"] for x in alone} == {1, 4, 5} and not any(x["speaker"] or x["known_no"] for x in alone)
