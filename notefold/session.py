@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 32_000_000
+
 _WRITTEN: list[str] = []
 
 
@@ -21,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="notefold-")
     spark.conf.set(CHECKPOINT_KEY, made)
@@ -53,12 +59,23 @@ def forget(spark: SparkSession) -> int:
     return done
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join.
+def _width(column, kind) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 24
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else as it is, for a shuffled join.
 
-    The count stops after ``rows + 1`` rows, so the check itself stays cheap whatever the size.
+    Counting and measuring stop after ``rows + 1`` rows, so the check itself stays cheap whatever the table's size.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(0))
+    n, measured = df.limit(rows + 1).agg(F.count("*"), F.sum(wide.cast("bigint"))).first()
+    return F.broadcast(df) if n <= rows and (measured or 0) <= size else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
