@@ -26,6 +26,12 @@ from notefold.session import bounded_batches, materialise, small, spread
 #: Outermost lines of a page that are looked at; rows up to which a side table is broadcast; words a lexicon may have.
 EDGE, BROADCAST_ROWS, MAX_WORDS = 3, 100_000, 20_000
 
+#: What it costs more to doubt a word of the lexicon than one outside it, and the channel cost beyond which it isn't doubted.
+DOUBT, MOST_DOUBT = 2.0, 12.0
+
+#: The pairs and confusions, the most frequent ones, that a model holds at most, and pages of a paragraph put into one row.
+MAX_PAIRS, MAX_CONFUSIONS, PART_PAGES = 2_000_000, 200_000, 64
+
 # Signs that cut a word at a line's end, and shapes that printing and recognition confuse (for comparing
 # running heads only; the channel's confusions are learned).
 CUTS = "-¬­‐–‑"
@@ -125,17 +131,31 @@ class Words:
                 self.blurred.setdefault(w[:i] + "?" + w[i + 1 :], []).append((w, i))
         self.heads, self.tails = {w[:i] for w in words for i in range(1, len(w))}, {w[i:] for w in words for i in range(1, len(w))}
         self.near = lru_cache(50_000)(self._near)
+        self.cut: dict[str, set[str]] = {}  # what is left of a word without one or two of its signs
+        self.trie: dict = {}
+        for w in self.latin:
+            for left in _without(w):
+                self.cut.setdefault(left, set()).add(w)
+            node = self.trie
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = w
 
     def _near(self, token: str) -> list[tuple[str, tuple[tuple[str, str], ...]]]:
-        """Words that one or two confusions turn into ``token``: ``(word, ((seen, meant), ...))``."""
+        """Words that confusions turn into ``token``: ``(word, ((seen, meant), ...))``.
+
+        Words a deletion or two away on either side come from the index: those with one or two signs taken for others, or
+        with one stretch of up to two signs taken for another. Where there are none, all words are searched along the trie
+        for those of the least number of edits, however many, up to half the token's length.
+        """
         found, n = [], len(token)
-        for w in self.latin:
+        for w in sorted(set().union(*(self.cut.get(left, ()) for left in _without(token)))):
             m = len(w)
             if m == n:
                 wrong = [i for i in range(n) if w[i] != token[i]]
                 if len(wrong) <= (1 if n < 4 else 2):
                     found.append((w, tuple((token[i], w[i]) for i in wrong)))
-            elif abs(m - n) <= 2 and min(m, n) >= 2:
+            elif min(m, n) >= 2:
                 p = 0
                 while p < min(m, n) and w[p] == token[p]:
                     p += 1
@@ -145,7 +165,52 @@ class Words:
                 seen, meant = token[p : n - s], w[p : m - s]
                 if max(len(seen), len(meant)) <= 2 or (len(seen) <= 4 and len(meant) == 2 and abs(m - n) == 2):
                     found.append((w, ((seen, meant),)))
-        return found
+        return found or self._far(token)
+
+    def _far(self, token: str) -> list[tuple[str, tuple[tuple[str, str], ...]]]:
+        n, most, found = len(token), len(token) // 2, []
+        stack = [(self.trie, list(range(n + 1)), "")]
+        while stack:
+            node, row, prefix = stack.pop()
+            for c, below in node.items():
+                if c == "":
+                    if row[n] <= most:
+                        found.append((row[n], below))
+                    continue
+                after = [row[0] + 1]
+                for j in range(1, n + 1):
+                    after.append(min(row[j] + 1, after[j - 1] + 1, row[j - 1] + (token[j - 1] != c)))
+                if min(after) <= most:
+                    stack.append((below, after, prefix + c))
+        least = min((k for k, _ in found), default=0)
+        return [(w, _edits(token, w)) for k, w in sorted(found) if k == least]
+
+
+def _without(word: str) -> set[str]:
+    """``word`` and what is left of it without one or two of its signs."""
+    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | one | {w[:i] + w[i + 1 :] for w in one for i in range(len(w))}
+
+
+def _edits(seen: str, meant: str) -> tuple[tuple[str, str], ...]:
+    """The single signs, or gaps, in which a shortest alignment of two words differs."""
+    rows = [list(range(len(meant) + 1))]
+    for i, a in enumerate(seen, 1):
+        rows.append([i])
+        for j, b in enumerate(meant, 1):
+            rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a != b)))
+    out, i, j = [], len(seen), len(meant)
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (seen[i - 1] != meant[j - 1]):
+            out += [(seen[i - 1], meant[j - 1])] if seen[i - 1] != meant[j - 1] else []
+            i, j = i - 1, j - 1
+        elif i and rows[i][j] == rows[i - 1][j] + 1:
+            out.append((seen[i - 1], ""))
+            i -= 1
+        else:
+            out.append(("", meant[j - 1]))
+            j -= 1
+    return tuple(reversed(out))
 
 
 class Model:
@@ -162,6 +227,7 @@ class Model:
         for a, b in pairs:
             self.known.setdefault(b, []).append(a)
         self.options: dict[str, dict[str, float]] = {}
+        self.rivals: dict[str, list[tuple[str, float]]] = {}
         self.confusions, self.seen = confusions, Counter()
         for (_, meant), n in confusions.items():
             self.seen[meant] += n
@@ -187,16 +253,27 @@ class Model:
 
 
 def _viterbi(slots: list[list[tuple[str, float]]], model: Model, before: str = "") -> list[str]:
-    """The likeliest word of each slot, of ``(word, channel cost)`` candidates."""
-    best = {before: (0.0, ())}
+    """The likeliest word of each slot, of ``(word, channel cost)`` candidates, by back-pointers."""
+    best, backs = {before: 0.0}, []
     for slot in slots:
-        after: dict[str, tuple[float, tuple]] = {}
+        if len(best) == 1 and len(slot) == 1:  # no choice on either side, so the costs so far are common to all that follows
+            backs.append({slot[0][0]: next(iter(best))})
+            best = {slot[0][0]: 0.0}
+            continue
+        after: dict[str, float] = {}
+        back: dict[str, str] = {}
         for word, cost in slot:
-            score, path = min((s + model.pair(a, word) + cost, p) for a, (s, p) in best.items())
-            if word not in after or score < after[word][0]:
-                after[word] = (score, (*path, word))
+            score, a = min((s + model.pair(a, word), a) for a, s in best.items())
+            if word not in after or score + cost < after[word]:
+                after[word], back[word] = score + cost, a
+        backs.append(back)
         best = after
-    return list(min(best.values())[1]) if best else []
+    if not slots:
+        return []
+    path = [min(best, key=lambda w: (best[w], w))]
+    for back in reversed(backs[1:]):
+        path.append(back[path[-1]])
+    return path[::-1]
 
 
 def _han_options(seen: str, words: Words, model: Model) -> dict[str, float]:
@@ -253,6 +330,18 @@ class PageReader:
 
     def __init__(self, words: Words, model: Model | None = None):
         self.words, self.model = words, model or Model({}, {})
+        self.last = ""  # the last word of the line before
+
+    def _rivals(self, word: str) -> list[tuple[str, float]]:
+        """Other lexicon words that ``word``, though in the lexicon itself, may be a misreading of."""
+        found = self.model.rivals.get(word)
+        if found is None:
+            if _CJK.search(word):
+                options = _han_options(word, self.words, self.model).items()
+            else:
+                options = [(w, self.model.channel(x)) for w, x in self.words.near(word)]
+            found = self.model.rivals[word] = sorted((w, cost + DOUBT) for w, cost in options if w != word and cost <= MOST_DOUBT)
+        return found
 
     def _join(self, a: str, b: str) -> str | None:
         """The word whose pieces ``a`` and ``b`` are, if the lexicon has it."""
@@ -276,7 +365,7 @@ class PageReader:
             self._read_han([b for b, h in zip(body, han) if h], before, after, noise, fixed)
         # Lines of figures only stand between the two parts of a cut word without being either.
         latin = [b for b, h in zip(body, han) if not h and re.search("[A-Za-z]", b[1])]
-        carried = ""
+        carried = self.last = ""
         if before is not None and before.rstrip()[-1:] in tuple(CUTS) and not _CJK.search(before):
             carried = (before.rstrip()[:-1].split() or [""])[-1]
         for k, (no, line) in enumerate(latin):
@@ -341,27 +430,30 @@ class PageReader:
                     noise.add((no, "misread"))
                 continue
             if token in words or token.isdigit():
-                slots.append([(token, 0.0)])
+                slots.append([(token, 0.0), *(() if token.isdigit() else self._rivals(token))])
                 keys.append((m.start(), m.end(), "", token))
                 continue
             if open_start and t == 0 and token in self.words.tails:
                 continue
             if re.fullmatch(r"[\d.,%]+", token):
                 continue
-            noise.add((no, "misread"))
             options = self.words.near(token)
             slots.append([(w, self.model.channel(x)) for w, x in options] or [(token, 0.0)])
-            keys.append((m.start(), m.end(), "", token))
+            keys.append((m.start(), m.end(), "" if options else "unknown", token))
         if hyphen:
             noise.add((no, "hyphen"))
         if sign:
             cut.add(no)
         out = body
-        if any((no, k) in noise for k in ("misread",)) and slots:
-            for (a, b, half, token), word in reversed(list(zip(keys, _viterbi(slots, self.model)))):
+        if any(half == "unknown" for _, _, half, _ in keys) or any(len(slot) > 1 or slot[0][0] != key[3] for slot, key in zip(slots, keys)):
+            decoded = _viterbi(slots, self.model, self.last)
+            for (a, b, half, token), word in reversed(list(zip(keys, decoded))):
+                if word != token or half == "unknown":
+                    noise |= {(no, "misread")} if half != "end" else set()
                 if word != token and not half:
                     seen = body[a:b]
                     out = out[:a] + (word.upper() if seen.isupper() and len(seen) > 1 else word.capitalize() if seen[:1].isupper() else word) + out[b:]
+        self.last = keys[-1][3] if keys and not sign else ""
         fixed[no] = out if not sign or hyphen else out + "-"
         return ends_at.group() if sign and ends_at is not None else ""
 
@@ -387,6 +479,16 @@ class PageReader:
         for m in re.finditer(r"[一-鿿]+", stream):
             clause = m.group()
             if self.words.cover.fullmatch(clause):
+                found = self.words.word.findall(clause)
+                slots = [[(w, 0.0), *self._rivals(w)] for w in found]
+                if "".join(found) == clause and any(len(slot) > 1 for slot in slots):
+                    at = m.start()
+                    for seen, meant in zip(found, _viterbi(slots, self.model)):
+                        for a, b in zip(seen, meant):
+                            if a != b and owner[at]:
+                                noise.add((owner[at], "misread"))
+                            signs[at] = b
+                            at += 1
                 continue
             open_start, open_end = m.start() == 0 and not head and before is None or m.start() == 0 and bool(head), m.end() == len(stream)
             cut_start = m.start() == 0 and (bool(head) or strip(before or "")[-1:] not in tuple(STOPS))
@@ -466,9 +568,11 @@ def _count(lexicon: list[str]):
 
 
 def learn_model(pages: DataFrame, lexicon: list[str]) -> Model:
-    """Counts over all pages. Pairs are of lexicon words, so there are at most ``MAX_WORDS`` squared, in truth far fewer."""
+    """Counts over all pages. A model holds the ``MAX_PAIRS`` most frequent pairs of lexicon words and the ``MAX_CONFUSIONS``
+    most frequent confusions; rarer ones have the likelihood of uncounted ones."""
     counts = pages.where("text is not null").select("text").mapInPandas(_count(lexicon), "kind string, a string, b string, n bigint")
-    rows = counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    summed = materialise(counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "counts")
+    rows = [r for kind, most in (("pair", MAX_PAIRS), ("confusion", MAX_CONFUSIONS)) for r in summed.where(F.col("kind") == kind).orderBy(F.desc("n"), "a", "b").limit(most).collect()]
     return Model({(r["a"], r["b"]): r["n"] for r in rows if r["kind"] == "pair"}, {(r["a"], r["b"]): r["n"] for r in rows if r["kind"] == "confusion"})
 
 
@@ -499,9 +603,11 @@ def repair_pages(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     behind = near.select("source", "backend", (F.col("page") + 1).alias("page"), F.col("foot").alias("before"))
     sided = materialise(sides.select("page_id", *place, "marks").join(ahead, place, "left").join(behind, place, "left").select("page_id", "marks", "before", "after"), "sided")
     joined = own.join(small(sided, BROADCAST_ROWS), "page_id")
+    shared = spark.sparkContext.broadcast((words, model.pairs, model.confusions))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = PageReader(Words(words), model)
+        lexical, pairs, confusions = shared.value
+        reader = PageReader(Words(lexical), Model(pairs, confusions))
         for batch in batches:
             rows = []
             for page_id, source, backend, page, text, marked, before, after in batch[["page_id", *place, "text", "marks", "before", "after"]].itertuples(index=False, name=None):
@@ -518,8 +624,9 @@ def noise_of(repaired: DataFrame) -> DataFrame:
 
 
 def paragraphs_of(repaired: DataFrame, span: int = 256) -> DataFrame:
-    """Continuous paragraphs per source and backend: ``source, backend, page, paragraph_no, text``; ``page`` is where a
-    paragraph starts, ``paragraph_no`` its number there.
+    """Continuous paragraphs per source and backend: ``source, backend, page, paragraph_no, part_no, text``; ``page`` is where a
+    paragraph starts, ``paragraph_no`` its number there. A paragraph that runs over more than ``PART_PAGES`` pages comes in
+    parts of so many pages each, counted from 1, so that no row grows with its source; their texts follow each other directly.
 
     A page that opens amid a paragraph belongs to the last one before it that starts anew. That page is found by a running
     maximum in stretches of ``span`` pages and one over the stretches, so a source of any share of all rows is spread.
@@ -534,6 +641,7 @@ def paragraphs_of(repaired: DataFrame, span: int = 256) -> DataFrame:
     here = F.struct("page", "k")
     placed = parts.join(led, ["source", "backend", "page"]).withColumn("home", F.when(F.col("anew") | (F.col("k") > 0), here).otherwise(F.coalesce("led", here)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "page_id", "k", "text"))), lambda x: x["text"]), "")
-    return placed.groupBy("source", "backend", "home").agg(F.trim(F.regexp_replace(text, "\u0001", "")).alias("text")).select(
-        "source", "backend", "home.page", (F.col("home.k") + 1).alias("paragraph_no"), "text"
+    part = (F.floor((F.coalesce(F.col("page"), F.lit(0)) - F.coalesce(F.col("home.page"), F.lit(0))) / PART_PAGES) + 1).cast("int")
+    return placed.groupBy("source", "backend", "home", part.alias("part_no")).agg(F.trim(F.regexp_replace(text, "\u0001", "")).alias("text")).select(
+        "source", "backend", "home.page", (F.col("home.k") + 1).alias("paragraph_no"), "part_no", "text"
     )
