@@ -1,7 +1,9 @@
-"""A compressed FM-index: wavelet matrix over the Burrows-Wheeler transform, with vectorised backward search."""
+"""A compressed FM-index with truncated LCP values: matching statistics of streamed texts by vectorised backward search."""
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 
@@ -53,68 +55,128 @@ def _dense(values: np.ndarray) -> np.ndarray:
     return ranks
 
 
+class Ranges:
+    """Least values of ranges of an array in constant time, by a sparse table."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 ** len(self.levels) <= len(values):
+            below, half = self.levels[-1], 2 ** (len(self.levels) - 1)
+            self.levels.append(np.minimum(below[: len(below) - half], below[half:]))
+        self.flat = np.concatenate(self.levels)
+        self.offset = np.concatenate(([0], np.cumsum([len(x) for x in self.levels])))[:-1]
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least value of each ``[low, high)``, none of which is empty."""
+        level = np.frexp((high - low).astype(float))[1] - 1
+        at = self.offset[level]
+        return np.minimum(self.flat[at + low], self.flat[at + high - (np.int64(1) << level)])
+
+
 class FMIndex:
-    """Index of several texts for matches of ``depth`` symbols.
+    """Index of texts, each of which belongs to records numbered ``low`` to ``high`` (one, or the least and the greatest of several).
 
-    The suffix array exists only while the index is built. Kept are the transform in its wavelet matrix, the bounds of the
-    runs of suffixes that agree in their first ``depth`` symbols, and each suffix's text.
+    ``build`` sorts the suffixes and keeps of them the transform in its wavelet matrix, the lengths that neighbours have in
+    common (up to ``depth``) and each suffix's text; ``dump`` and ``load`` carry an index between tasks.
     """
 
-    def __init__(self, texts: list[np.ndarray], depth: int):
-        self.depth = depth
+    @staticmethod
+    def build(texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, depth: int) -> FMIndex:
         lengths = np.array([len(t) for t in texts], np.int64)
         joined = np.concatenate([np.append(t.astype(np.int64) + 1, 0) for t in texts])
-        self.alphabet, s = np.unique(joined, return_inverse=True)
-        n = len(s)
-        powers, rank, width = {}, s.astype(np.int64), 1
-        wanted = {1 << b for b in range(depth.bit_length()) if depth >> b & 1}
-        while True:
-            if width in wanted:
-                powers[width] = rank
-            if width >= depth:
-                break
+        alphabet, s = np.unique(joined, return_inverse=True)
+        n, ranks, width = len(s), [s.astype(np.int64)], 1
+        while width < depth:
             after = np.full(n, -1, np.int64)
-            after[: n - width] = rank[width:]
-            rank = _dense(rank * (n + 1) + after + 1)
+            after[: max(0, n - width)] = ranks[-1][width:]
+            ranks.append(_dense(ranks[-1] * (n + 1) + after + 1))
             width *= 2
-        order = np.argsort(rank, kind="stable")
-        # Ranks by exactly ``depth`` symbols, put together from those by its powers of two.
-        exact, at = np.zeros(n, np.int64), 0
-        for w in sorted(powers, reverse=True):
-            part = np.full(n, -1, np.int64)
-            part[: n - at] = powers[w][at:]
-            exact = _dense(exact * (n + 1) + part + 1) if at else part
-            at += w
-        in_order = exact[order]
-        fresh = np.concatenate(([True], in_order[1:] != in_order[:-1]))
-        bounds = np.append(np.flatnonzero(fresh), n)
-        run = np.cumsum(fresh) - 1
-        self.run_of, self.bounds = run.astype(np.int32), bounds
-        self.text_of = np.repeat(np.arange(len(texts)), lengths + 1)[order].astype(np.int32)
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=len(self.alphabet)))))[:-1]
-        self.matrix = WaveletMatrix(s[order - 1], len(self.alphabet))
-        self.size = n
-
-    def runs(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(text, start, run)`` of each window of ``depth`` symbols of texts that are all in the index.
-
-        All texts step backwards together. Once a text's match is ``depth`` long it is cut back to that length after each
-        step by widening its interval to the run it lies in; as the texts are in the index, no step can fail.
+        order = np.argsort(ranks[-1], kind="stable")
+        common, left, right = np.zeros(n, np.int64), order[:-1], order[1:]
+        for k in range(len(ranks) - 1, -1, -1):
+            a, b = left + common[1:], right + common[1:]
+            inside = (a < n) & (b < n)
+            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+            common[1:] += same * (1 << k)
+        people, both = np.unique(np.concatenate((low, high)), return_inverse=True)
+        parts = {
+            "alphabet": alphabet, "transform": s[order - 1].astype(np.int32), "common": np.minimum(common, depth).astype(np.int16 if depth < 2**15 else np.int32),
+            "text_of": np.repeat(np.arange(len(texts)), lengths + 1)[order].astype(np.int32),
+            "low": both[: len(low)].astype(np.int32), "high": both[len(low) :].astype(np.int32),
+            "first": np.concatenate(([0], np.cumsum(np.bincount(s, minlength=len(alphabet)))))[:-1], "depth": np.array(depth),
+        }
+        return FMIndex(parts)
+
+    def __init__(self, parts: dict[str, np.ndarray]):
+        self.parts, self.depth = parts, int(parts["depth"])
+        self.alphabet, self.first, self.text_of = parts["alphabet"], parts["first"], parts["text_of"]
+        self.size = len(self.text_of)
+        self.matrix = WaveletMatrix(parts["transform"], len(self.alphabet))
+        self.common = Ranges(np.append(parts["common"], 0).astype(parts["common"].dtype))
+        self.lowest, self.highest = Ranges(parts["low"][self.text_of]), Ranges(-parts["high"][self.text_of])
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.parts)
+        return out.getvalue()
+
+    @staticmethod
+    def load(data: bytes) -> FMIndex:
+        return FMIndex(dict(np.load(io.BytesIO(data))))
+
+    def _widen(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of all suffixes that share ``length`` symbols with those of the given ones."""
+        for k in range(len(self.common.levels) - 1, -1, -1):
+            step, level, at = 1 << k, self.common.levels[k], self.common.offset[k]
+            down, up = low - step + 1, high
+            low = low - step * ((down >= 1) & (self.common.flat[at + np.maximum(down, 0)] >= length))
+            inside = up + step <= self.size
+            high = high + step * (inside & (self.common.flat[at + np.minimum(up, len(level) - 1)] >= length))
+        return low, high
+
+    def statistics(self, texts: list[np.ndarray], foreign: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, start, low, high)`` of each window of ``depth`` symbols that the index holds in another record.
+
+        All texts step backwards together. A text's state is the interval of the longest stretch from its place on, up to
+        ``depth`` symbols, that occurs in the index in two records (in one, if the texts are ``foreign`` to it): that is its
+        matching statistic. A step that leaves no such occurrence shortens the stretch at its end, to the next longer
+        interval around it, until the step succeeds or nothing is left.
         """
         lengths = np.array([len(t) for t in texts], np.int64)
-        width = int(lengths.max())
-        symbols = np.zeros((len(texts), width), np.int64)
+        width = int(lengths.max(initial=0))
+        symbols = np.full((len(texts), width), -1, np.int64)
         for i, t in enumerate(texts):  # aligned at their ends
-            symbols[i, width - len(t) :] = np.searchsorted(self.alphabet, t.astype(np.int64) + 1)
-        low, high = np.zeros(len(texts), np.int64), np.full(len(texts), self.size, np.int64)
+            at = np.searchsorted(self.alphabet, t.astype(np.int64) + 1)
+            at = np.minimum(at, len(self.alphabet) - 1)
+            symbols[i, width - len(t) :] = np.where(self.alphabet[at] == t.astype(np.int64) + 1, at, -1)
+        low, high, length = np.zeros(len(texts), np.int64), np.full(len(texts), self.size, np.int64), np.zeros(len(texts), np.int64)
         out = []
         for step in range(1, width + 1):
             live = np.flatnonzero(lengths >= step)
-            c = symbols[live, width - step]
-            both = self.matrix.rank(np.concatenate((c, c)), np.concatenate((low[live], high[live])))
-            low[live], high[live] = self.first[c] + both[: len(live)], self.first[c] + both[len(live) :]
-            if step >= self.depth:
-                run = self.run_of[low[live]]
-                low[live], high[live] = self.bounds[run], self.bounds[run + 1]
-                out.append((live, lengths[live] - step, run))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
+            strange = live[symbols[live, width - step] < 0]
+            low[strange], high[strange], length[strange] = 0, self.size, 0
+            todo = live[symbols[live, width - step] >= 0]
+            while len(todo):
+                c = symbols[todo, width - step]
+                both = self.matrix.rank(np.concatenate((c, c)), np.concatenate((low[todo], high[todo])))
+                l2, h2 = self.first[c] + both[: len(todo)], self.first[c] + both[len(todo) :]
+                some = h2 > l2
+                shared = some & foreign
+                if not foreign:
+                    shared[some] = self.lowest.least(l2[some], h2[some]) < -self.highest.least(l2[some], h2[some])
+                done = todo[shared]
+                low[done], high[done] = l2[shared], h2[shared]
+                length[done] += 1
+                over = done[length[done] > self.depth]
+                if len(over):
+                    low[over], high[over] = self._widen(low[over], high[over], np.full(len(over), self.depth))
+                    length[over] = self.depth
+                todo = todo[~shared & (length[todo] > 0)]
+                if len(todo):
+                    rest = np.maximum(self.common.flat[low[todo]], self.common.flat[high[todo]]).astype(np.int64)
+                    low[todo], high[todo] = self._widen(low[todo], high[todo], rest)
+                    length[todo] = rest
+            hit = live[length[live] >= self.depth]
+            if len(hit):
+                out.append((hit, lengths[hit] - step, low[hit], high[hit]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4

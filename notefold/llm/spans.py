@@ -1,13 +1,13 @@
 """Long exact spans shared between records.
 
-Per shard, a compressed FM-index is searched backwards with the streamed texts; the matching statistics it gives, cut at
-the least length of interest, yield the shared intervals. Searching every text in every shard would grow as the square of
+Per shard, a compressed FM-index is built and written; texts are streamed through it by backward search, and the matching
+statistics against other records, cut at the least length of interest, yield the shared intervals. Searching every text in every shard would grow as the square of
 the corpus, so texts are first routed: of every window of the least length the smallest n-gram hash is kept (winnowing). A
 shared span holds a whole window, hence an n-gram kept in both records; only n-grams kept in two records are followed, each
 with the text around it that a span of the least length through it can reach, in the shard of its hash. Nothing is lost
-this way and a hash alone never decides: a match is one of the index.
+this way, and that two texts share a span is told by the index alone.
 
-Records of equal text form classes before all this; one per class goes on.
+Records of equal text (by length and SHA-256) form classes before all this; one per class goes on.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from notefold.llm.fmindex import FMIndex
 from notefold.session import bounded_batches, materialise, small, spread
 
-#: Code points of an n-gram, as a part of the least length; contexts per shard; code points hashed at once.
-GRAM_PART, SHARD_CONTEXTS, CHUNK = 0.6, 20_000, 4_000_000
+#: Code points of an n-gram, as a part of the least length; code points of a shard; code points hashed at once.
+GRAM_PART, SHARD_SYMBOLS, CHUNK = 0.6, 1_000_000, 4_000_000
 
-#: Rows up to which a table of record ids or hashes is broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a table of record ids or hashes is broadcast; members of a set or class that one task pairs.
+BROADCAST_ROWS, PAIR_MEMBERS = 500_000, 500
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -122,51 +122,69 @@ def _contexts(gram: int, least: int):
     return cut
 
 
+def _codes(texts: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(c.encode("utf-32-le", "surrogatepass"), np.uint32) for c in texts]
+
+
+def _index(least: int):
+    """applyInPandas function: the FM-index of a shard's contexts, in order of ``h, x``."""
+
+    def index(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["h", "x"], kind="stable")
+        built = FMIndex.build(_codes(rows["context"]), rows["low"].to_numpy(), rows["high"].to_numpy(), least)
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "index": [built.dump()], "hs": [rows["h"].to_numpy()], "xs": [rows["x"].to_numpy()]})
+
+    return index
+
+
+_FOUND = {"kind": "int32", "set_id": "int64", "h": "int64", "x": "int64", "start": "int64", "end": "int64"}
+
+
 def _search(least: int):
-    """applyInPandas function of a shard: runs of windows that two records share, and which contexts share them."""
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["h", "x"], kind="stable").reset_index(drop=True)
-        texts = [np.frombuffer(c.encode("utf-32-le", "surrogatepass"), np.uint32) for c in rows["context"]]
-        index = FMIndex(texts, least)
-        text, start, run = index.runs(texts)
-        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
-        # A run is shared if its texts come from two records at least.
-        order = np.lexsort((text, run))
-        text, start, run = text[order], start[order], run[order]
-        heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else np.zeros(0, int)
-        if not len(heads):
-            return pd.DataFrame({"kind": [], "set_id": [], "h": [], "x": [], "start": [], "end": []})
-        shared = np.minimum.reduceat(low[text], heads) < np.maximum.reduceat(high[text], heads)
-        sizes = np.diff(np.append(heads, len(run)))
-        keep = np.repeat(shared, sizes)
-        text, start, group = text[keep], start[keep], np.repeat(np.arange(len(heads)), sizes)[keep]
-        out = []
-        # Shared stretches of each context: following windows are joined.
-        by = np.lexsort((start, text))
-        t, s = text[by], start[by]
-        if len(t):
+    """Cogrouped function: a shard's texts streamed through its index. Of kind 0 the stretches of each text that another
+    record holds too; of kind 1 the distinct sets of texts that one span of the least length occurs in."""
+
+    def search(streamed: pd.DataFrame, indexes: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: pd.Series([], dtype=t) for c, t in _FOUND.items()})]
+        for _, shard, data, hs, xs in indexes[["shard", "index", "hs", "xs"]].itertuples() if len(streamed) else ():
+            index = FMIndex.load(data)
+            text, start, low, high = index.statistics(_codes(streamed["context"]))
+            if not len(text):
+                continue
+            by = np.lexsort((start, text))  # following windows of a text are one stretch
+            t, s = text[by], start[by]
             new = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)))
             a, b = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(t)) - 1
-            out.append(pd.DataFrame({"kind": 0, "set_id": 0, "h": rows["h"].to_numpy()[t[a]], "x": rows["x"].to_numpy()[t[a]], "start": s[a], "end": s[b] + least}))
-        # Distinct sets of contexts that share a window.
-        pairs = np.unique(np.stack((group, text), 1), axis=0) if len(text) else np.zeros((0, 2), np.int64)
-        if len(pairs):
+            h, x = streamed["h"].to_numpy(), streamed["x"].to_numpy()
+            out.append(pd.DataFrame({"kind": 0, "set_id": 0, "h": h[t[a]], "x": x[t[a]], "start": s[a], "end": s[b] + least}))
+            # Occurrences are located per distinct interval; equal sets of texts count once.
+            low, first = np.unique(low, return_index=True)
+            sizes = high[first] - low
+            group = np.repeat(np.arange(len(low)), sizes)
+            member = index.text_of[np.repeat(low - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes) + np.arange(sizes.sum())]
+            pairs = np.unique(np.stack((group, member), 1), axis=0)
             marks = _mix(pairs[:, 1].astype(np.uint64) + np.uint64(7))
             at = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0])))
             counts = np.diff(np.append(at, len(pairs)))
             signs = np.stack((np.add.reduceat(marks, at), np.add.reduceat(_mix(marks), at), counts.astype(np.uint64)), 1)
             _, chosen = np.unique(signs, axis=0, return_index=True)
-            take = np.isin(np.repeat(np.arange(len(at)), counts), chosen)
-            members = pairs[take]
-            out.append(pd.DataFrame({"kind": 1, "set_id": members[:, 0], "h": rows["h"].to_numpy()[members[:, 1]], "x": rows["x"].to_numpy()[members[:, 1]], "start": 0, "end": 0}))
-        found = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"kind": [], "set_id": [], "h": [], "x": [], "start": [], "end": []})
-        found["set_id"] += int(rows["shard"].iloc[0]) << 32
-        return found
+            members = pairs[np.isin(np.repeat(np.arange(len(at)), counts), chosen)]
+            out.append(pd.DataFrame({"kind": 1, "set_id": members[:, 0] + (int(shard) << 32), "h": np.asarray(hs)[members[:, 1]], "x": np.asarray(xs)[members[:, 1]], "start": 0, "end": 0}))
+        return pd.concat(out, ignore_index=True).astype(_FOUND)
 
     return search
 
 
+def _paired(df: DataFrame, group: str, item: str) -> DataFrame:
+    """``a, b`` of all items of one group with ``a < b``. A group of more than ``PAIR_MEMBERS`` is split over as many salts
+    as it has times that many members: its left sides are spread over them, its right sides repeated."""
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / PAIR_MEMBERS).cast("int").alias("salts"))
+    sized = df.join(sizes, group)
+    left = sized.select(group, F.pmod(F.hash(item), F.col("salts")).alias("salt"), F.col(item).alias("a"))
+    right = sized.select(group, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col(item).alias("b"))
+    return left.join(right, [group, "salt"]).where("a < b").select("a", "b")
+
+
 class SharedSpans:
     """Shared spans of at least ``least`` code points among the rows ``id_col, text_col`` of ``docs``.
 
@@ -182,7 +200,7 @@ class SharedSpans:
         bounded_batches(docs.sparkSession)
         self.least, gram = least, max(4, int(least * GRAM_PART))
         self.docs = spread(docs, id_col).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.length("text") >= least)
-        keyed = self.docs.select("doc", F.md5("text").alias("digest"), F.length("text").alias("n"))
+        keyed = self.docs.select("doc", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
         classes = keyed.groupBy("digest", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("members")).where("members > 1").drop("members")
         self.copies = materialise(keyed.join(materialise(classes, "classes"), ["digest", "n"]).select(F.col("doc").alias("doc_id"), "rep").distinct(), "copies")
         repeats = small(self.copies.where("doc_id <> rep").select(F.col("doc_id").alias("doc")), BROADCAST_ROWS)
@@ -196,13 +214,19 @@ class SharedSpans:
         self.places = contexts.select("h", "x", "doc", "at")
         distinct = contexts.groupBy("h", "x").agg(F.first("context").alias("context"), F.min("doc").alias("low"), F.max("doc").alias("high"))
         distinct = materialise(distinct, "distinct")
-        hot = distinct.groupBy("h").count().where(F.col("count") > SHARD_CONTEXTS)
-        if hot.limit(1).count():
-            distinct = self._divide(distinct, materialise(hot.select("h"), "hot"))
-        shards = max(1, -(-distinct.count() // SHARD_CONTEXTS))
-        sharded = distinct.withColumn("shard", F.pmod(F.hash("h"), F.lit(shards)))
-        found = sharded.groupBy("shard").applyInPandas(_search(least), "kind int, set_id bigint, h bigint, x bigint, start bigint, end bigint")
-        self.found = materialise(found, "found")
+        distinct = self._divided(distinct, SHARD_SYMBOLS // (2 * least))
+        symbols = distinct.agg(F.sum(F.length("context") + 1)).first()[0] or 0
+        # Shards of a bounded size; of a small table more of them, so that the cores have something to do.
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        shards = max(1, -(-symbols // SHARD_SYMBOLS), min(3 * cores, symbols // (SHARD_SYMBOLS // 8)))
+        sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+        self.index = materialise(sharded.groupBy("shard").applyInPandas(_index(least), "shard int, index binary, hs array<bigint>, xs array<bigint>"), "index")
+        streamed = sharded.select("shard", "h", "x", "context").groupBy("shard").cogroup(self.index.groupBy("shard"))
+        self.found = materialise(streamed.applyInPandas(_search(least), "kind int, set_id bigint, h bigint, x bigint, start bigint, end bigint"), "found")
+
+    def _divided(self, distinct: DataFrame, most: int) -> DataFrame:
+        hot = distinct.groupBy("h").count().where(F.col("count") > most)
+        return self._divide(distinct, materialise(hot.select("h"), "hot")) if hot.limit(1).count() else distinct
 
     def _divide(self, distinct: DataFrame, hot: DataFrame) -> DataFrame:
         """Contexts of an n-gram with more of them than a shard takes are routed again by their single windows."""
@@ -218,18 +242,11 @@ class SharedSpans:
     def spans(self) -> DataFrame:
         """``doc_id, start, end`` of maximal spans found in another record, of one record per class of copies."""
         at = self.found.where("kind = 0").join(self.places, ["h", "x"]).select("doc", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")).distinct()
-        merged = F.aggregate(
-            F.array_sort(F.collect_list(F.struct("start", "end"))),
-            F.array().cast("array<struct<start:bigint,end:bigint>>"),
-            lambda acc, s: F.when(
-                (F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"] - self.least + 1),
-                F.concat(
-                    F.slice(acc, 1, F.size(acc) - 1),
-                    F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(s))),
-        )
-        return at.groupBy("doc").agg(merged.alias("spans")).select(F.col("doc").alias("doc_id"), F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
+        before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+        fresh = F.coalesce(F.col("start") > F.max("end").over(before) - self.least + 1, F.lit(True))
+        upto = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+        islands = at.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(upto))
+        return islands.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(F.col("doc").alias("doc_id"), "start", "end")
 
     def amounts(self) -> DataFrame:
         """``doc_id, rep, n_chars, shared_chars, shared_part`` of every record with a text of the least length; copies of a
@@ -247,11 +264,9 @@ class SharedSpans:
     def pairs(self) -> DataFrame:
         """``doc_id_a, doc_id_b`` of all pairs that share a span, copies included."""
         sets = materialise(self.found.where("kind = 1").join(self.places, ["h", "x"]).select("set_id", "doc").distinct(), "sets")
-        a, b = sets.withColumnRenamed("doc", "a"), sets.withColumnRenamed("doc", "b")
-        reps = a.join(b, "set_id").where("a < b").select("a", "b").distinct()
+        reps = _paired(sets, "set_id", "doc").distinct()
         members = lambda c: self.copies.select(F.col("rep").alias(c), F.col("doc_id").alias(f"{c}_member"))
         wide = reps.join(members("a"), "a", "left").join(members("b"), "b", "left").select(F.coalesce("a_member", "a").alias("a"), F.coalesce("b_member", "b").alias("b"))
-        left, right = self.copies.select("rep", F.col("doc_id").alias("a")), self.copies.select("rep", F.col("doc_id").alias("b"))
-        alike = left.join(right, "rep").where("a < b").select("a", "b")
+        alike = _paired(self.copies, "rep", "doc_id")
         return wide.unionByName(alike).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
 

@@ -16,15 +16,23 @@ def test_wavelet_rank_against_counting():
 
 
 @pytest.mark.parametrize("depth", [3, 7, 8, 13])
-def test_runs_group_equal_windows(depth):
-    r = random.Random(depth)
-    texts = [np.array([r.randrange(3) for _ in range(r.randrange(depth, 40))], np.uint32) for _ in range(12)]
-    text, start, run = FMIndex(texts, depth).runs(texts)
-    assert len(text) == sum(len(t) - depth + 1 for t in texts)
-    words = {}
-    for t, s, g in zip(text, start, run):
-        words.setdefault(g, set()).add(tuple(texts[t][s : s + depth]))
-    assert all(len(w) == 1 for w in words.values()) and len({next(iter(w)) for w in words.values()}) == len(words)
+def test_matching_statistics_against_windows(depth):
+    for seed in range(6):
+        r = random.Random(depth * 10 + seed)
+        texts = [np.array([r.randrange(2 + seed % 3) for _ in range(r.randrange(1, 40))], np.uint32) for _ in range(12)]
+        record = np.arange(12) // 2
+        index = FMIndex.load(FMIndex.build(texts, record, record, depth).dump())
+        holders = {}
+        for i, t in enumerate(texts):
+            for k in range(len(t) - depth + 1):
+                holders.setdefault(tuple(t[k : k + depth]), set()).add(i)
+        found = list(zip(*index.statistics(texts)))
+        want = {(i, k) for i, t in enumerate(texts) for k in range(len(t) - depth + 1) if len({record[j] for j in holders[tuple(t[k : k + depth])]}) > 1}
+        assert {(t, s) for t, s, _, _ in found} == want
+        assert all(set(index.text_of[a:b]) == holders[tuple(texts[t][s : s + depth])] for t, s, a, b in found)
+        others = [np.array([r.randrange(5) for _ in range(40)], np.uint32), np.concatenate((texts[0][:depth], [9], texts[5]))]  # 9 is no symbol of the index
+        got = {(t, s) for t, s, _, _ in zip(*index.statistics(others, foreign=True))}
+        assert got == {(i, k) for i, t in enumerate(others) for k in range(len(t) - depth + 1) if tuple(t[k : k + depth]) in holders}
 
 
 def brute(rows, least):
@@ -57,9 +65,10 @@ def corpus(seed):
     return [*rows, (100, rows[3][1]), (101, rows[3][1]), (102, ""), (103, None), (104, "short"), (105, common[0] * 3)]
 
 
-@pytest.mark.parametrize("seed,shard", [(1, 20_000), (2, 20_000), (3, 5)])
+@pytest.mark.parametrize("seed,shard", [(1, 1_000_000), (2, 4000), (3, 200)])
 def test_against_brute_force(spark, monkeypatch, seed, shard):
-    monkeypatch.setattr(S, "SHARD_CONTEXTS", shard)  # a small shard sends hot n-grams through their single windows
+    monkeypatch.setattr(S, "PAIR_MEMBERS", 2 if seed == 3 else 500)
+    monkeypatch.setattr(S, "SHARD_SYMBOLS", shard)  # a small shard sends hot n-grams through their single windows
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, h string, place int").repartition(3)
     found = S.SharedSpans(df, 20)
