@@ -1,14 +1,16 @@
 """Timestamps of mixed spelling, precision and zone, as UTC instants.
 
-Every value becomes an array of its valid readings, built by JVM expressions only. Readings differ in the order of day and
-month of an all-numeric date. Per source (machine), in record order, a Viterbi pass picks one reading per value; it
-penalises a switch of the date order between records and a jump backwards in time. An order declared for the machine
-outweighs both, so the pass itself decides where none is declared.
+Every value becomes an array of its valid readings, built by JVM expressions only. Readings differ in the order of day,
+month and two-digit year of an all-numeric date, in the unit of a count of ticks that fits two, and, where the machine has
+no zone, in the place that a zone abbreviation stands for. Per source (machine) and field, in record order, a Viterbi pass
+picks one reading per value; it penalises a switch of convention between records and a jump backwards in time. What the
+machine declares, its date order and its zone, outweighs both: there the pass is left with what is not declared. Local
+times that occur twice or not at all are no alternatives, as their reading is stated.
 
 A pass needs each source's records in order, yet one source may hold any share of the rows. Records are therefore range
-partitioned by (source, order). Each partition solves its stretch of a source for every pair of a first and a last date
-order (nine at most) and reduces it to a small min-plus matrix. The matrices, at most one per partition and source, are
-then chained, and each row takes the pick of its stretch's pair. No task sees a whole source.
+partitioned by (source, order), and each Arrow batch solves its stretch of a source for every pair of a first and a last
+convention and reduces it to a min-plus matrix of 9 x 9. The matrices, one per source and batch, are then chained, and each
+row takes the pick of its stretch's pair. No task holds more of a source than a batch of its records, or its matrices.
 """
 
 from __future__ import annotations
@@ -29,6 +31,17 @@ ORDERS = ("ymd", "dmy", "mdy")
 #: Costs of the Viterbi pass.
 SWITCH, BACKWARD, UNDECLARED, IMPOSSIBLE = 3.0, 1.0, 1e6, 1e12
 
+#: A convention is a date order and one of ``ALTERNATIVES`` readings of a unit or an abbreviation; rows of a range partition.
+ALTERNATIVES, PARTITION_ROWS = 3, 500_000
+STATES = len(ORDERS) * ALTERNATIVES
+
+# Minutes east of Greenwich that a zone abbreviation may stand for.
+ABBREVIATIONS = {
+    "GMT": [0], "WET": [0], "WEST": [60], "CET": [60], "CEST": [120], "EET": [120], "EEST": [180], "MSK": [180], "SGT": [480], "HKT": [480], "JST": [540], "KST": [540],
+    "AEST": [600], "AEDT": [660], "NZST": [720], "NZDT": [780], "EDT": [-240], "CDT": [-300], "MDT": [-360], "PDT": [-420], "MST": [-420],
+    "EST": [-300, 600], "CST": [-360, 480, -300], "PST": [-480, 480], "BST": [60, 360], "IST": [330, 120, 60], "AST": [-240, 180],
+}
+
 #: Rows up to which the machine table, or the table of chosen pairs, is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -40,6 +53,7 @@ _ZONE = r"Z|(?:UTC|GMT)?\s*[+-]\d{1,2}(?::?\d{2})?|[\[(]?[A-Za-z]+(?:/[A-Za-z_+\
 _TAIL = rf"(?:[Tt ]\s*{_CLOCK})?\s*({_ZONE})?$"
 ISO = rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TAIL}"
 NUMERIC = rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}){_TAIL}"
+SHORT = rf"^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{2}}){_TAIL}"
 DAY_MONTH = rf"^(?:[A-Za-z]{{3,9}},?\s+)?(\d{{1,2}})\s+([A-Za-z]{{3,9}})\.?,?\s+(\d{{4}}){_TAIL}"
 MONTH_DAY = rf"^([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){_TAIL}"
 CHINESE = (
@@ -48,9 +62,10 @@ CHINESE = (
 )
 PACKED = r"^(\d{4})(\d{2})(\d{2})(?:T?(\d{2})(\d{2})(\d{2})?(Z)?)?$"
 EPOCH = r"^(\d{9,10})(?:\.\d+)?$|^(\d{12,13})$|^(\d{15,16})$|^(\d{18,19})$"
+UNSURE = r"^(\d{11})$|^(\d{17})$"
 
 _RESULT = (
-    "kind int, source string, part int, id bigint, field string, picks array<bigint>, "
+    "kind int, source string, part bigint, id bigint, field string, picks array<bigint>, "
     "costs array<double>, first_sec array<bigint>, last_sec array<bigint>"
 )
 
@@ -90,9 +105,10 @@ def _utc(local: Column, zone: Column, machine_zone: Column, known: list[str]) ->
 
 
 def readings(value: Column, machine_zone: Column, known: list[str]) -> Column:
-    """All valid readings of a value: ``ARRAY<STRUCT<ord INT, sec BIGINT>>``, empty if it names no instant.
+    """All valid readings of a value: ``ARRAY<STRUCT<ord INT, alt INT, sec BIGINT>>``, empty if it names no instant.
 
-    ``ord`` is the place in ``ORDERS`` of the date order a reading supposes, or -1 where the spelling leaves no choice.
+    ``ord`` is the place in ``ORDERS`` of the date order a reading supposes, ``alt`` that of the unit or of the abbreviation's
+    meaning, each -1 where the spelling leaves no choice.
     A date alone stands for midnight; fractions of a second are dropped; an impossible date or time gives no reading.
     """
     t = clean(value)
@@ -106,14 +122,16 @@ def readings(value: Column, machine_zone: Column, known: list[str]) -> Column:
         local = F.when(fits, day.try_cast("timestamp_ntz"))
         return F.struct(F.lit(order).alias("ord"), local.alias("local"), zone.alias("zone"))
 
-    def dated(p: str, y: int, mo: int, d: int, order: int = -1, named: bool = False) -> Column:
-        month = number(p, mo)
+    def dated(p: str, y: int, mo: int, d: int, order: int = -1, named: bool = False, short: bool = False) -> Column:
+        month, year = number(p, mo), number(p, y)
+        if short:
+            year = F.when(F.length(text(p, y)) == 2, F.when(year < 70, year + 2000).otherwise(year + 1900))
         if named:
             at = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(text(p, mo), 1, 3)))
             month = F.nullif(at, F.lit(0)).cast("int")
         half, hour = F.lower(F.substring(text(p, 8), 1, 1)), number(p, 4)
         noon = F.when((hour < 1) | (hour > 12), 99).when(half == "p", hour % 12 + 12).otherwise(hour % 12)
-        return parts(order, number(p, y), month, number(p, d), F.when(half.isNull(), hour).otherwise(noon), number(p, 5), number(p, 6), text(p, 9))
+        return parts(order, year, month, number(p, d), F.when(half.isNull(), hour).otherwise(noon), number(p, 5), number(p, 6), text(p, 9))
 
     half, hour, nothing = text(CHINESE, 4), number(CHINESE, 5), F.lit(None).cast("string")
     late = half.isin("下午", "晚上") | ((half == "中午") & (hour < 11))
@@ -123,93 +141,114 @@ def readings(value: Column, machine_zone: Column, known: list[str]) -> Column:
     found = (
         F.when(t.rlike(ISO), F.array(dated(ISO, 1, 2, 3)))
         .when(t.rlike(NUMERIC), F.array(dated(NUMERIC, 3, 2, 1, 1), dated(NUMERIC, 3, 1, 2, 2)))
+        .when(t.rlike(SHORT), F.array(dated(SHORT, 1, 2, 3, 0, short=True), dated(SHORT, 3, 2, 1, 1, short=True), dated(SHORT, 3, 1, 2, 2, short=True)))
         .when(t.rlike(CHINESE), F.array(chinese))
         .when(t.rlike(PACKED), F.array(packed))
         .when(t.rlike(DAY_MONTH), F.array(dated(DAY_MONTH, 3, 2, 1, named=True)))
         .when(t.rlike(MONTH_DAY), F.array(dated(MONTH_DAY, 3, 1, 2, named=True)))
     )
-    read = F.transform(
-        F.filter(found, lambda r: r["local"].isNotNull()),
-        lambda r: F.struct(r["ord"].alias("ord"), _utc(r["local"], r["zone"], machine_zone, known).alias("sec")),
-    )
-    whole = lambda i: text(EPOCH, i).try_cast("decimal(20,0)")
-    since = F.coalesce(whole(1), F.floor(whole(2) / 1000), F.floor(whole(3) / 1_000_000), F.floor(whole(4) / 1_000_000_000))
-    epoch = F.when(since.isNotNull(), F.array(F.struct(F.lit(-1).alias("ord"), since.cast("bigint").alias("sec"))))
-    none = F.array().cast("array<struct<ord:int,sec:bigint>>")
-    return F.coalesce(F.filter(F.coalesce(read, epoch), lambda r: r["sec"].isNotNull()), none)
+    offsets = F.create_map(*(F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, ",".join(map(str, v)))))
+    kind = "array<struct<ord:int,alt:int,sec:bigint>>"
 
+    def instants(r: Column) -> Column:
+        sec = _utc(r["local"], r["zone"], machine_zone, known)
+        meant = F.split(F.element_at(offsets, F.upper(F.regexp_replace(r["zone"], r"[\[\]()\s]", ""))), ",")
+        placed = F.transform(meant, lambda x, i: F.struct(r["ord"].alias("ord"), F.when(F.size(meant) > 1, i).otherwise(-1).alias("alt"), (_seconds(r["local"]) - x.cast("int") * 60).alias("sec")))
+        return F.when(sec.isNotNull(), F.array(F.struct(r["ord"].alias("ord"), F.lit(-1).alias("alt"), sec.alias("sec")))).otherwise(placed).cast(kind)
 
-def _stretch(secs: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best costs and picks for every pair of a first and a last date order.
-
-    ``secs[n, k]``: the instant that order ``k`` gives record ``n``; ``emit[n, k]``: its own cost. Returns ``costs[9]`` and
-    ``picks[n, 9]``, both indexed by ``first * 3 + last``.
-    """
-    n, k = secs.shape
-    costs = np.full((k, k), IMPOSSIBLE)
-    costs[np.arange(k), np.arange(k)] = emit[0]
-    back = np.zeros((n, k, k), np.int8)
-    change = SWITCH * (1 - np.eye(k))
-    for i in range(1, n):
-        step = change + BACKWARD * (secs[i][None, :] < secs[i - 1][:, None])
-        options = costs[:, :, None] + step[None]
-        back[i] = options.argmin(1)
-        costs = options.min(1) + emit[i][None, :]
-    picks = np.empty((n, k * k), np.int64)
-    first, last = np.repeat(np.arange(k), k), np.tile(np.arange(k), k)
-    at = last.copy()
-    for i in range(n - 1, -1, -1):
-        picks[i] = secs[i, at]
-        if i:
-            at = back[i, first, at]
-    return costs.ravel(), picks
+    read = F.flatten(F.filter(F.transform(F.filter(found, lambda r: r["local"].isNotNull()), instants), lambda r: r.isNotNull()))
+    whole = lambda i: text(EPOCH, i).try_cast("decimal(20,0)")
+    since = F.coalesce(whole(1), F.floor(whole(2) / 1000), F.floor(whole(3) / 1_000_000), F.floor(whole(4) / 1_000_000_000))
+    tick = lambda alt, sec: F.struct(F.lit(alt).alias("ord"), F.lit(alt).alias("alt"), sec.cast("bigint").alias("sec"))
+    epoch = F.when(since.isNotNull(), F.array(tick(-1, since)))
+    unsure = lambda i, a, b: F.when(text(UNSURE, i).isNotNull(), F.array(*(F.struct(F.lit(-1).alias("ord"), F.lit(k).alias("alt"), F.floor(text(UNSURE, i).try_cast("decimal(20,0)") / n).cast("bigint").alias("sec")) for k, n in enumerate((a, b)))))
+    none = F.array().cast(kind)
+    return F.coalesce(F.filter(F.coalesce(read, epoch, unsure(1, 1000, 1), unsure(2, 1_000_000_000, 1_000_000)), lambda r: r["sec"].isNotNull()), none)
+
+
+def _costs(read: list, declared: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The instant each convention gives a record, and its own cost."""
+    secs, emit = np.zeros(STATES, np.int64), np.full(STATES, IMPOSSIBLE)
+    for r in read:
+        price = 0.0 if r["ord"] < 0 or declared is None or declared == ORDERS[r["ord"]] else UNDECLARED
+        for o in range(len(ORDERS)) if r["ord"] < 0 else (r["ord"],):
+            for a in range(ALTERNATIVES) if r["alt"] < 0 else (r["alt"],):
+                if price < emit[o * ALTERNATIVES + a]:
+                    secs[o * ALTERNATIVES + a], emit[o * ALTERNATIVES + a] = r["sec"], price
+    bad = emit >= IMPOSSIBLE  # a convention this record can't follow stands for its best reading, at a price
+    secs[bad] = secs[emit.argmin()]
+    emit[bad] = emit.min() + SWITCH
+    return secs, emit
+
+
+def _change() -> np.ndarray:
+    order, alt = np.divmod(np.arange(STATES), ALTERNATIVES)
+    return SWITCH * ((order[:, None] != order[None, :]).astype(float) + (alt[:, None] != alt[None, :]))
+
+
+def _stretch(read: list[list], declared: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Best costs for every pair of a first and a last convention, each record's picks by pair (``first * STATES + last``;
+    one pick where all agree), and what the first and the last record are under each convention."""
+    change, costs, steps = _change(), None, []
+    settled = False  # no switch of convention pays before the next record that has a choice
+    first_secs = before = None
+    for options, order in zip(read, declared):
+        sure = len(options) == 1 and options[0]["ord"] < 0 and options[0]["alt"] < 0
+        secs, emit = (np.full(STATES, options[0]["sec"]), np.zeros(STATES)) if sure else _costs(options, order)
+        if before is None:
+            costs, first_secs, back = np.full((STATES, STATES), IMPOSSIBLE), secs, None
+            costs[np.arange(STATES), np.arange(STATES)] = emit
+        elif sure and settled:
+            costs, back = costs + BACKWARD * float(secs[0] < before[0]), None
+        else:
+            ways = costs[:, :, None] + (change + BACKWARD * (secs[None, :] < before[:, None]))[None]
+            back = ways.argmin(1).astype(np.int8)
+            costs = ways.min(1) + emit[None, :]
+        settled = sure and back is not None or sure and settled
+        steps.append((None if sure else secs, secs, back))
+        before = secs
+    first, at = np.repeat(np.arange(STATES), STATES), np.tile(np.arange(STATES), STATES)
+    picks = [None] * len(steps)
+    for i in range(len(steps) - 1, -1, -1):
+        choice, secs, back = steps[i]
+        picks[i] = secs[:1] if choice is None else choice[at]
+        if back is not None:
+            at = back[first, at]
+    return costs.ravel(), picks, first_secs, before
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Solve each source's stretch in a sorted partition; a row of kind 1 per record, one of kind 0 per stretch."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    rows = pd.concat(frames, ignore_index=True)
-    for source, own in rows.groupby("source", sort=False, dropna=False):
-        n = len(own)
-        secs, emit = np.zeros((n, 3), np.int64), np.full((n, 3), IMPOSSIBLE)
-        for i, (read, declared) in enumerate(zip(own["readings"], own["date_order"])):
-            for r in read:
-                if r["ord"] < 0:
-                    secs[i], emit[i] = r["sec"], 0.0
-                else:
-                    secs[i, r["ord"]] = r["sec"]
-                    emit[i, r["ord"]] = 0.0 if declared is None or declared == ORDERS[r["ord"]] else UNDECLARED
-            if emit[i].min() < IMPOSSIBLE:
-                bad = emit[i] >= IMPOSSIBLE  # an order this record can't have stands for its best reading, at a price
-                secs[i, bad] = secs[i, emit[i].argmin()]
-                emit[i, bad] = emit[i].min() + SWITCH
-        costs, picks = _stretch(secs, emit)
-        part = int(own["part"].iloc[0])
-        yield pd.DataFrame({"kind": 1, "source": own["source"], "part": part, "id": own["id"], "field": own["field"], "picks": list(picks), "costs": None, "first_sec": None, "last_sec": None})
-        yield pd.DataFrame({"kind": [0], "source": [source], "part": [part], "id": [None], "field": [None], "picks": [None], "costs": [costs], "first_sec": [secs[0]], "last_sec": [secs[-1]]}).astype({"id": "Int64"})
+    """Solve each batch's stretch of a source in a sorted partition; a row of kind 1 per record, one of kind 0 per stretch."""
+    number = 0
+    for batch in batches:
+        for source, own in batch.groupby("source", sort=False, dropna=False):
+            costs, picks, first, last = _stretch(own["readings"].tolist(), own["date_order"].tolist())
+            part = (int(own["part"].iloc[0]) << 32) + number
+            number += 1
+            yield pd.DataFrame({"kind": 1, "source": own["source"], "part": part, "id": own["id"], "field": own["field"], "picks": picks, "costs": None, "first_sec": None, "last_sec": None})
+            yield pd.DataFrame({"kind": [0], "source": [source], "part": [part], "id": [None], "field": [None], "picks": [None], "costs": [costs], "first_sec": [first], "last_sec": [last]}).astype({"id": "Int64"})
 
 
 def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """The pair of first and last date order of each stretch of one source."""
+    """The pair of first and last convention of each stretch of one source."""
     rows = rows.sort_values("part")
-    mats = [np.asarray(c, float).reshape(3, 3) for c in rows["costs"]]
-    firsts, lasts = rows["first_sec"].to_list(), rows["last_sec"].to_list()
-    total, steps = mats[0].min(0), [mats[0].argmin(0)]
-    links = [np.zeros(3, int)]
-    for i in range(1, len(mats)):
-        jump = SWITCH * (1 - np.eye(3)) + BACKWARD * (np.asarray(firsts[i])[None, :] < np.asarray(lasts[i - 1])[:, None])
-        enter = total[:, None] + jump
-        links.append(enter.argmin(0))
-        ways = enter.min(0)[:, None] + mats[i]
-        steps.append(ways.argmin(0))
-        total = ways.min(0)
+    change, total, before, steps, links = _change(), None, None, [], []
+    for flat, first, last in zip(rows["costs"], rows["first_sec"], rows["last_sec"]):
+        matrix = np.asarray(flat, float).reshape(STATES, STATES)
+        if total is None:
+            enter, link = np.zeros(STATES), np.zeros(STATES, np.int8)
+        else:
+            ways = total[:, None] + change + BACKWARD * (np.asarray(first)[None, :] < before[:, None])
+            enter, link = ways.min(0), ways.argmin(0).astype(np.int8)
+        ways = enter[:, None] + matrix
+        links.append(link)
+        steps.append(ways.argmin(0).astype(np.int8))
+        total, before = ways.min(0), np.asarray(last)
     last, pairs = int(total.argmin()), []
-    for i in range(len(mats) - 1, -1, -1):
-        first = int(steps[i][last])
-        pairs.append(first * 3 + last)
-        last = int(links[i][first])
+    for step, link in zip(reversed(steps), reversed(links)):
+        first = int(step[last])
+        pairs.append(first * STATES + last)
+        last = int(link[first])
     return pd.DataFrame({"source": rows["source"], "part": rows["part"], "pair": pairs[::-1]})
 
 
@@ -234,16 +273,17 @@ def to_instants(
     ).select("id", "source", "at", "v.field", "v.value")
     read = long.join(m, "source", "left").select("id", "source", "at", "field", "date_order", readings(F.col("value"), F.col("zone"), known).alias("readings"))
     read = materialise(read, "readings")
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-read.count() // PARTITION_ROWS))
     ranged = (
         read.where(F.size("readings") > 0)
-        .repartitionByRange("source", "field", "at", "id")
+        .repartitionByRange(parts, "source", "field", "at", "id")
         .sortWithinPartitions("source", "field", "at", "id")
         .withColumn("source", F.concat_ws("\u0001", F.coalesce("source", F.lit("")), "field"))
         .withColumn("part", F.spark_partition_id())
     )
     solved = materialise(ranged.select("id", "source", "field", "date_order", "readings", "part").mapInPandas(_solve, _RESULT), "solved")
-    pairs = solved.where("kind = 0").select("source", "part", "costs", "first_sec", "last_sec").groupBy("source").applyInPandas(_chain, "source string, part int, pair int")
+    pairs = solved.where("kind = 0").select("source", "part", "costs", "first_sec", "last_sec").groupBy("source").applyInPandas(_chain, "source string, part bigint, pair int")
     picked = solved.where("kind = 1").join(small(materialise(pairs, "pairs"), BROADCAST_ROWS), ["source", "part"])
-    return picked.select(F.col("id").alias(id_col), "field", F.element_at("picks", F.col("pair") + 1).alias("utc_second")).unionByName(
+    return picked.select(F.col("id").alias(id_col), "field", F.element_at("picks", F.when(F.size("picks") == 1, 1).otherwise(F.col("pair") + 1)).alias("utc_second")).unionByName(
         read.where(F.size("readings") == 0).select(F.col("id").alias(id_col), "field", F.lit(None).cast("bigint").alias("utc_second"))
     )

@@ -5,7 +5,7 @@ import pytest
 
 from notefold.operators.instants import to_instants
 
-MACHINES = [("m1", "Asia/Shanghai", "ymd"), ("m2", "America/New_York", "mdy"), ("m3", "Europe/Berlin", "dmy"), ("m4", "Europe/Berlin", None)]
+MACHINES = [("m1", "Asia/Shanghai", "ymd"), ("m2", "America/New_York", "mdy"), ("m3", "Europe/Berlin", "dmy"), ("m4", "Europe/Berlin", None), ("m5", None, None)]
 
 
 def run(spark, rows, extra=""):
@@ -45,6 +45,10 @@ CASES = [
     ("m1", "1714980000999", 1714980000),
     ("m1", "1714980000999999", 1714980000),
     ("m1", "1714980000.9", 1714980000),
+    ("m2", "5/6/24 7:08", at("2024-05-06T07:08:00", "America/New_York")),
+    ("m1", "99-05-06", at("1999-05-06T00:00:00", "Asia/Shanghai")),
+    ("m3", "31.12.99", at("1999-12-31T00:00:00", "Europe/Berlin")),
+    ("gone", "2024-05-06 07:08:09 JST", at("2024-05-06T07:08:09", "Asia/Tokyo")),
     # Repeated local times mean the earlier instant, skipped ones take the offset before the change.
     ("m3", "2024-10-27 02:30:00", at("2024-10-27T02:30:00", "Europe/Berlin")),
     ("m3", "2024-10-27 02:30:00 CET", at("2024-10-27T02:30:00", "Europe/Berlin")),
@@ -68,12 +72,66 @@ def test_spellings(spark):
     assert {CASES[i][:2]: got[i] for i in got} == {c[:2]: c[2] for c in CASES}
 
 
-def test_viterbi_finds_the_order_where_none_is_declared(spark):
-    # Only day-first fits the last two records, so the ambiguous ones before them are day-first too.
-    values = ["03.02.2024", "05.02.2024", "07.02.2024", "13.02.2024", "25.02.2024"]
-    rows = [(i, "m4", dt.datetime(2024, 3, 1) + dt.timedelta(days=i), v) for i, v in enumerate(values)]
-    want = {i: at(f"2024-02-{v[:2]}T00:00:00", "Europe/Berlin") for i, v in enumerate(values)}
-    assert run(spark, rows) == want
+def series(spark, values, machine):
+    return run(spark, [(i, machine, dt.datetime(2024, 3, 1) + dt.timedelta(days=i), v) for i, v in enumerate(values)])
+
+
+DAY_FIRST = ["03.02.2024", "05.02.2024", "07.02.2024", "13.02.2024", "25.02.2024"]
+MONTH_FIRST = ["02/03/2024", "02/05/2024", "02/07/2024", "02/13/2024", "02/25/2024", "03/01/2024"]
+ZONED = ["2024-01-05 01:00:00 CST", "2024-01-05T00:00:00Z", "2024-01-05 08:30:00 CST", "2024-01-05T01:00:00Z", "2024-01-05 09:30:00 CST"]
+
+
+def days(values, shape):
+    return {i: int(dt.datetime.strptime(v, shape).replace(tzinfo=ZoneInfo("Europe/Berlin")).timestamp()) for i, v in enumerate(values)}
+
+
+def planted(spark):
+    """What the pass makes of planted records whose values fit several conventions each."""
+    return {
+        "day first": series(spark, DAY_FIRST, "m4") == days(DAY_FIRST, "%d.%m.%Y"),
+        "month first": series(spark, MONTH_FIRST, "m4") == days(MONTH_FIRST, "%m/%d/%Y"),
+        # Read with China's offset the abbreviated times lie between their neighbours, with America's they jump back.
+        "zone": [series(spark, ZONED, "m5")[i] for i in (2, 4)] == [int(dt.datetime(2024, 1, 5, h, 30, tzinfo=dt.UTC).timestamp()) for h in (0, 1)],
+    }
+
+
+def test_viterbi_decides_what_no_machine_declares(spark):
+    assert planted(spark) == {"day first": True, "month first": True, "zone": True}
+
+
+def test_without_path_costs_the_planted_records_come_out_wrong(spark, monkeypatch):
+    monkeypatch.setattr("notefold.operators.instants.SWITCH", 0.0)
+    monkeypatch.setattr("notefold.operators.instants.BACKWARD", 0.0)
+    from notefold.operators import instants
+
+    reads = [[{"ord": 1, "alt": -1, "sec": 20}, {"ord": 2, "alt": -1, "sec": 5}], [{"ord": -1, "alt": -1, "sec": 10}]]
+    assert pick(instants, reads)[0] == 20
+    monkeypatch.undo()
+    assert pick(instants, reads)[0] == 5
+
+
+def pick(instants, reads):
+    costs, picks, _, _ = instants._stretch(reads, [None] * len(reads))
+    return [int(p[0] if len(p) == 1 else p[costs.argmin()]) for p in picks]
+
+
+def test_stretches_of_any_size_equal_one_pass(spark):
+    import random
+
+    from notefold.operators import instants
+
+    r = random.Random(4)
+    for _ in range(20):
+        reads = [[{"ord": -1, "alt": -1, "sec": r.randrange(50)}] if r.random() < 0.4 else [{"ord": o, "alt": a, "sec": r.randrange(50)} for o in (1, 2) for a in (0, 1)] for _ in range(12)]
+        whole = min(instants._stretch(reads, [None] * 12)[0])
+        rows = []
+        for k, (a, b) in enumerate(((0, 5), (5, 6), (6, 12))):
+            costs, picks, first, last = instants._stretch(reads[a:b], [None] * (b - a))
+            rows.append({"source": "s", "part": k, "costs": costs, "first_sec": first, "last_sec": last, "picks": picks})
+        frame = instants.pd.DataFrame(rows)
+        pairs = instants._chain(frame)["pair"].tolist()
+        chosen = [int(p[0] if len(p) == 1 else p[pair]) for row, pair in zip(rows, pairs) for p in row["picks"]]
+        assert sum(chosen[i] < chosen[i - 1] for i in range(1, 12)) * instants.BACKWARD <= whole
 
 
 def test_viterbi_across_partitions_equals_one_pass(spark):
