@@ -1,19 +1,23 @@
 """Main content of web pages without their boilerplate.
 
-A page that was turned into Markdown is read back as a tree: page, blocks (runs of lines without a blank one), lines. Every
-block and line is a node with features of its text, markup and links, of its subtree, its place and its siblings. Boosted
-trees score the nodes. A decoding over the tree then picks the best labels without contradiction: what lies in a dropped
-block is dropped, and a kept block keeps at least one line.
-
-There are no labelled pages. The trees are fitted on a sample of at most ``SAMPLE_PAGES`` pages whose nodes are labelled by
-rules of high precision, each of which may abstain; the trees carry the labels over to nodes no rule speaks on. Fitting
-apart, every page is read once, by itself.
+A page that was turned into Markdown is read back as a tree: page, sections (from one heading to the next), blocks (runs of
+lines without a blank one), lines. Every section, block and line is a node with features of its text, markup and links, of
+its subtree's density and depth, its place and its siblings. Boosted trees score the nodes. A decoding over the whole tree
+then picks the best labels without contradiction: what lies in a dropped node is dropped, a kept node keeps something.
+
+There are no labelled pages. The trees are fitted on a sample of at most ``SAMPLE_PAGES`` pages with weak labels that know no
+vocabulary: a line that other pages of the sample show too is furniture, and so are bare lists under one and blocks of nothing
+but links; prose that no other page shows, code and quotes are content; the rest has no label. What words tell is learned
+from those labels, for each half of the sample from the other one. Neither the repetition nor the labels are features, so
+what the trees know they apply to lines that no other page shows. Fitting apart, every page is read once, by itself.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,25 +28,9 @@ from pyspark.sql import functions as F
 from notefold.llm.trees import BoostedTrees
 from notefold.session import bounded_batches, spread
 
-#: Pages that the trees are fitted on at most.
-SAMPLE_PAGES = 800
-
-# Words that tell of a page's furniture, by what they tell of.
-CUES = {
-    "privacy": r"cookies?\b|small files on your device|device data|privacy|隐私|小型文本文件|同类技术|similar technolog|consent|设置中撤回|全部接受|accept all|知道了|管理选项|manage options",
-    "account": r"sign[ -]?in\b|log ?in\b|sign up|guest\b|登录|注册|登陆",
-    "legal": r"©|\(c\)\s*\d{4}|copyright|all rights reserved|版权所有|未经许可|不得转载|no reproduction|备案|terms\b|registered office|举报|accessibility|sitemap|友情链接|站点地图|无障碍",
-    "share": r"\bshare\b|pass it on|like save|分享|转发|点赞|收藏|微博|复制链接",
-    "follow": r"follow\b|subscribe|newsletter|weekly letter|weekly\b|join our|reader group|扫码|关注|订阅|周报|读者群|资料包|get the app|客户端|unsubscribe",
-    "advert": r"sponsored|membership at|% off|赞助|限时|会员|promotion|广告",
-    "related": r"related|you may also like|more from|latest posts|editor'?s picks|most read|read next|popular tags|相关阅读|延伸|猜你喜欢|最新发布|热门|编辑推荐|推荐$|上一篇|下一篇",
-    "comment": r"comments?\b|leave a reply|评论|写下你的看法|留言",
-    "counter": r"\d+\s*(?:views|reads|comments)|阅读\s*\d+|views\b",
-    "control": r"back to top|text size|\bprint\b|字号|打印|回到顶部|返回顶部|menu\b",
-    "contact": r"contact:|联系邮箱|@|专线",
-    "address": r"\byou(?:r)?\b|您|\bwe\b|\bour\b|我们|本站|this site",
-}
-_CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
+#: Pages that the trees are fitted on at most, code points read of each of them, and pages of the sample from which on a line repeats.
+SAMPLE_PAGES, SAMPLE_POINTS, REPEATS = 800, 200_000, 3
+
 _OWN = re.compile(r"^\s*(?:#\s|##\s*原文抽取\s*$)")
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
 _ENDS = re.compile(r"(?<![.…])[。！？.!?；;：:][\"'”’」』)）*_]*$")
@@ -51,11 +39,26 @@ _SEPARATED = re.compile(r"\s[|/·>»•]\s|\s{2,}|[,，、]\s*|\s#")
 _ITEM = re.compile(r"^(?:[-*+]\s+|\d{1,3}[.)、]?\s+)")
 _DATED = re.compile(r"\d{4}-\d{1,2}-\d{1,2}$")
 _WORD = re.compile(r"[A-Za-z][A-Za-z'-]*|[一-鿿]")
+_FIGURED = re.compile(r"[A-Za-z]*-?\d[A-Za-z0-9_-]*")
+_PIECE = re.compile(r"[a-z][a-z']+|[一-鿿]+|[^\w\s]")
 KINDS = ("text", "heading", "bold", "bullet", "number", "quote", "fence", "code", "table")
 
 
+def _pieces(line: str) -> set[str]:
+    """What a line says, as a set: words, pairs of Chinese signs, punctuation."""
+    out = set()
+    for m in _PIECE.findall(line.lower()):
+        out |= {m[i : i + 2] for i in range(len(m) - 1)} if "一" <= m[0] <= "鿿" and len(m) > 1 else {m}
+    return out
+
+
+def _shown(line: str) -> str:
+    """A line as other pages may show it too: without markup, addresses and whatever has a figure."""
+    return _FIGURED.sub("0", _ITEM.sub("", _LINK.sub(r"\1", line)).strip("#>* ").lower())
+
+
 class Page:
-    """Lines, blocks and node features of a page's Markdown."""
+    """Lines, blocks, sections and node features of a page's Markdown."""
 
     def __init__(self, text: str):
         self.lines, self.number = [], []
@@ -89,31 +92,38 @@ class Page:
                 self.kind.append("table")
             else:
                 self.kind.append("text")
-        self.blocks = [[i for i, b in enumerate(self.block) if b == k] for k in range(block + 1)]
+        self.blocks = [[] for _ in range(block + 1)]
+        for i, b in enumerate(self.block):
+            self.blocks[b].append(i)
+        self.sections: list[list[int]] = []  # blocks of each
+        for k, members in enumerate(self.blocks):
+            if not self.sections or self.kind[members[0]] in ("heading", "bold"):
+                self.sections.append([])
+            self.sections[-1].append(k)
 
     def own(self, i: int) -> bool:
         """A heading of the note itself, which is never part of the page."""
         return self.number[i] <= 8 and self.kind[i] == "heading" and bool(_OWN.match(self.lines[i]))
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Features of the lines and of the blocks."""
-        n = len(self.lines)
-        base = np.zeros((n, 20 + len(KINDS) + len(CUES)))
+    def features(self, weights: dict[str, float]) -> np.ndarray:
+        """Features of the lines, then of the blocks, then of the sections; ``weights`` is what each piece of a line tells."""
+        n, own = len(self.lines), 26 + len(KINDS)
+        base = np.zeros((n, own))
         for i, (line, kind) in enumerate(zip(self.lines, self.kind)):
             links = _LINK.findall(line)
-            shown = _LINK.sub(r"\1", line)
+            shown = _LINK.sub(r"\1", line) if links else line
             bare = _ITEM.sub("", shown.strip("#> *"))
             size = len(bare)
             words = _WORD.findall(bare)
             latin = [w for w in words if w[0].isascii()]
-            link_chars = sum(len(t) for t, _ in links)
-            base[i, :20] = (
+            told = sorted(weights.get(p, 0.0) for p in _pieces(shown)) or [0.0]
+            base[i, :26] = (
                 size,
                 len(words),
                 len(links),
-                link_chars / max(1, size),
-                any(u.startswith(("/", "#")) for _, u in links),
-                any("://" in u for _, u in links),
+                sum(len(t) for t, _ in links) / max(1, size),
+                sum(u.startswith(("/", "#")) for _, u in links),
+                max((u.count("/") for _, u in links), default=0),
                 bool(_ENDS.search(line)),
                 len(_SENTENCE.findall(bare)),
                 len(_SEPARATED.findall(shown)),
@@ -126,124 +136,155 @@ class Page:
                 size / max(1, len(words)),
                 bool(re.search(r"[：:]", bare)),
                 line.endswith((">>", "…", "......", "……")),
-                bool(re.search(r"[A-Z][a-z]+-\d+", bare)),
-                line[:1] in "【[(（©",
+                line[:1] in "【[(（",
+                self.number[i] - (self.number[i - 1] if i else 0),
+                told[-1],
+                told[0],
+                sum(told) / len(told),
+                sum(told),
+                sum(t > 1 for t in told) / len(told),
+                len(self.blocks[self.block[i]]),
             )
-            base[i, 20 + KINDS.index(kind)] = 1
-            base[i, 20 + len(KINDS) :] = [len(c.findall(shown)) for c in _CUES.values()]
-        lines = np.zeros((n, base.shape[1] + 14))
-        blocks = np.zeros((len(self.blocks), base.shape[1] + 14))
-        sizes = [len(b) for b in self.blocks]
-        ended = np.array([base[b, 6].mean() for b in self.blocks]) if n else np.zeros(0)
-        dense = np.array([base[b, 0].mean() for b in self.blocks]) if n else np.zeros(0)
-        for k, members in enumerate(self.blocks):
-            own = base[members]
-            around = (
-                k / max(1, len(self.blocks)),
-                len(self.blocks) - 1 - k,
-                min(k, 30),
-                sizes[k],
-                dense[k],
-                ended[k],
-                own[:, 3].mean(),
-                dense[k - 1] if k else 0,
-                dense[k + 1] if k + 1 < len(self.blocks) else 0,
-                ended[k - 1] if k else 0,
-                ended[k + 1] if k + 1 < len(self.blocks) else 0,
+            base[i, 26 + KINDS.index(kind)] = 1
+        if not n:
+            return np.zeros((0, 2 * own + 20))
+        groups = [*self.blocks, *([i for k in ks for i in self.blocks[k]] for ks in self.sections)]
+        mean = np.array([base[g].mean(0) for g in groups])
+        blocks, sections = mean[: len(self.blocks)], mean[len(self.blocks) :]
+        look = [0, 3, 6, 7, 20, 22]  # size, links, endings, sentences, what words tell
+
+        def around(rows: np.ndarray) -> np.ndarray:
+            edge = np.zeros((1, len(look)))
+            return np.hstack((np.vstack((edge, rows[:-1, look])), np.vstack((rows[1:, look], edge))))
+
+        def placed(rows: np.ndarray, level: int, parent: np.ndarray) -> np.ndarray:
+            at = np.arange(len(rows))
+            place = np.stack((at / len(rows), np.minimum(at, 30), np.minimum(len(rows) - 1 - at, 30)), 1)
+            inside = np.array([parent.tolist().index(p) for p in parent]) if len(parent) < 2 else at - np.maximum.accumulate(np.where(np.append(True, parent[1:] != parent[:-1]), at, 0))
+            kinds = np.tile(np.eye(3)[level], (len(rows), 1))
+            return np.hstack((around(rows), place, inside[:, None], kinds, np.full((len(rows), 1), len(self.sections))))
+
+        of_block = np.array([self.block[i] for i in range(n)])
+        of_section = np.array([k for k, ks in enumerate(self.sections) for _ in ks])
+        return np.vstack(
+            (
+                np.hstack((base, blocks[of_block], placed(base, 0, of_block))),
+                np.hstack((blocks, sections[of_section], placed(blocks, 1, of_section))),
+                np.hstack((sections, np.tile(base.mean(0), (len(sections), 1)), placed(sections, 2, np.zeros(len(sections), int)))),
             )
-            blocks[k] = np.concatenate((own.mean(0), around, (0, 0, 1)))
-            for at, i in enumerate(members):
-                follow = members[at + 1 :]
-                below = base[follow, 6].mean() if follow else (ended[k + 1] if k + 1 < len(self.blocks) else 0)
-                lines[i] = np.concatenate((base[i], around, (at, below, 0)))
-        return lines, blocks
+        )
 
-    def rules(self) -> np.ndarray:
-        """Labels by rule: 1 boilerplate, 0 content, -1 where no rule speaks."""
+    def weak(self, pages: Counter) -> np.ndarray:
+        """Labels of the lines: 1 furniture, 0 content, -1 unknown. ``pages`` counts the pages of the sample that show a line."""
         out = np.full(len(self.lines), -1)
-        hits = [{k for k, c in _CUES.items() if c.search(line)} for line in self.lines]
-        for members in self.blocks:
-            plain = [i for i in members if self.kind[i] in ("text", "bullet", "number") and not _ENDS.search(self.lines[i])]
+        seen = [pages[_shown(line)] for line in self.lines]
+        fixed = [self.kind[i] in ("fence", "code", "quote") or self.own(i) for i in range(len(self.lines))]
+        ends = [bool(_ENDS.search(line)) for line in self.lines]
+        size = [len(_LINK.sub(r"\1", line)) for line in self.lines]
+        linked = [sum(len(t) for t, _ in _LINK.findall(line)) > 0.7 * len(_ITEM.sub("", _LINK.sub(r"\1", line))) for line in self.lines]
+        said = [len(_WORD.findall(line)) for line in self.lines]
+        bare = [not e and k in ("text", "bullet", "number") and z < 60 for e, k, z in zip(ends, self.kind, size)]
+        for k, members in enumerate(self.blocks):
+            again = [i for i in members if seen[i] >= REPEATS and not fixed[i]]
+            following = self.blocks[k + 1][0] if k + 1 < len(self.blocks) else None
             for at, i in enumerate(members):
-                line, kind, cue = self.lines[i], self.kind[i], hits[i] - {"address"}
-                ends, size = bool(_ENDS.search(line)), len(_LINK.sub(r"\1", line))
-                if kind in ("fence", "code", "quote"):
+                if fixed[i]:
+                    out[i] = 0
+                elif seen[i] >= REPEATS:
+                    out[i] = 1
+                elif bare[i] and (members[0] in again and at or len(again) * 2 >= len(members)):
+                    out[i] = 1
+                elif linked[i] and len(members) > 1 and all(linked[j] or bare[j] for j in members):
+                    out[i] = 1
+                elif ends[i] and not again and said[i] >= 4 and self.kind[i] in ("text", "bullet", "number"):
+                    out[i] = 0
+                elif self.kind[i] in ("heading", "bold") and len(members) == 1 and following is not None and ends[following] and said[following] >= 4 and seen[following] < REPEATS:
                     out[i] = 0
-                elif kind in ("heading", "bold"):
-                    below = [j for j in members[at + 1 :]]
-                    if self.own(i):
-                        out[i] = 0
-                    elif "related" in cue and size < 40:
-                        out[i] = 1
-                    elif below and all(j in plain for j in below):
-                        out[i] = 1
-                    elif kind == "heading" and not below and not cue:
-                        out[i] = 0
-                elif kind in ("text", "bullet", "number"):
-                    if ends and not line.endswith((":", "：")) and not cue:
-                        out[i] = 0
-                    elif not ends and size < 60:
-                        out[i] = 1
-                    elif "privacy" in cue and "address" in hits[i] and len(_SENTENCE.findall(line)) <= 2 and size < 260:
-                        out[i] = 1
-                    elif cue & {"legal", "control", "counter", "contact"} and size < 60:
-                        out[i] = 1
-                    elif ends and size >= 100 and len(_SENTENCE.findall(line)) >= 2 and not ("privacy" in cue and "address" in hits[i]):
-                        out[i] = 0
         return out
 
 
-def decode(page: Page, line_score: np.ndarray, block_score: np.ndarray) -> np.ndarray:
-    """Lines to drop: the labels of the tree that agree best with the scores (log odds of boilerplate).
+def decode(page: Page, line_score: np.ndarray, block_score: np.ndarray, section_score: np.ndarray | None = None) -> np.ndarray:
+    """Lines to drop: the labels of the tree that agree best with the scores (log odds of furniture).
 
-    Dropping a block drops its lines; a kept block decides line by line but keeps one line at least. The note's own headings
-    are kept and stand outside their block.
+    From the leaves up, each node gets the best sum of a subtree that is dropped whole and of one that is kept with at least
+    one child; from the root down the better of both is taken. The note's own headings are kept and stand outside the tree.
     """
+    section_score = np.zeros(len(page.sections)) if section_score is None else section_score
+
+    def kept(own: float, parts: list[tuple[float, float]]) -> tuple[float, list[bool]]:
+        """Best value with a child kept, and which children are dropped; each child has its values ``(dropped, kept)``."""
+        out = [d > k for d, k in parts]
+        value = -own + sum(max(d, k) for d, k in parts)
+        if all(out):
+            least = min(range(len(parts)), key=lambda c: parts[c][0] - parts[c][1])
+            out[least] = False
+            value -= parts[least][0] - parts[least][1]
+        return value, out
+
     drop = np.zeros(len(page.lines), bool)
-    for k, members in enumerate(page.blocks):
-        members = [i for i in members if not page.own(i)]
-        if not members:
+    for section, ks in enumerate(page.sections):
+        inner = []
+        for k in ks:
+            members = [i for i in page.blocks[k] if not page.own(i)]
+            if members:
+                value, out = kept(block_score[k], [(line_score[i], -line_score[i]) for i in members])
+                inner.append((members, block_score[k] + sum(line_score[i] for i in members), value, out))
+        if not inner:
             continue
-        s = line_score[members]
-        all_out = block_score[k] + s.sum()
-        each = np.abs(s).sum() - (2 * s.min() if (s > 0).all() else 0)
-        if all_out >= each - block_score[k]:
-            drop[members] = True
-        else:
-            out = s > 0
-            if out.all():
-                out[s.argmin()] = False
-            drop[np.array(members)[out]] = True
+        value, gone = kept(section_score[section], [(d, k) for _, d, k, _ in inner])
+        whole = section_score[section] + sum(d for _, d, _, _ in inner) >= value
+        for (members, _, _, out), dropped in zip(inner, gone):
+            drop[members] = whole or dropped or np.array(out)
     return drop
 
 
+def _weights(pages: list[Page], labels: list[np.ndarray]) -> dict[str, float]:
+    """Log odds of furniture of each piece that stands in labelled lines of three pages at least."""
+    counts, held, total = (Counter(), Counter()), Counter(), [0, 0]
+    for page, label in zip(pages, labels):
+        on_page = set()
+        for i in np.flatnonzero(label >= 0):
+            pieces = _pieces(_LINK.sub(r"\1", page.lines[i]))
+            counts[label[i]].update(pieces)
+            total[label[i]] += 1
+            on_page |= pieces
+        held.update(on_page)
+    return {p: round(math.log((counts[1][p] + 0.5) / (total[1] + 1)) - math.log((counts[0][p] + 0.5) / (total[0] + 1)), 3) for p in sorted(held) if held[p] >= 3}
+
+
+def _repetition(pages: list[Page]) -> Counter:
+    """How many articles a line stands beside; pages with the same longest line are copies of one article."""
+    beside: dict[str, set[str]] = {}
+    for p in pages:
+        article = max(p.lines, key=len)
+        for line in p.lines:
+            beside.setdefault(_shown(line), set()).add(article)
+    return Counter({line: len(articles) for line, articles in beside.items()})
+
+
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    xs, ys, ws = [], [], []
-    for text in rows["text"]:
-        page = Page(text)
-        if not page.lines:
-            continue
-        lines, blocks = page.features()
-        y = page.rules()
-        spoken = y >= 0
-        xs.append(lines[spoken])
-        ys.append(y[spoken])
-        ws.append(np.ones(spoken.sum()))
-        for k, members in enumerate(page.blocks):
-            own = y[members]
-            if (own >= 0).all() and own.min() == own.max():
-                xs.append(blocks[k : k + 1])
-                ys.append(own[:1])
-                ws.append(np.ones(1))
-    if not xs:
+    pages = [p for p in map(Page, rows["text"]) if p.lines]
+    shown = _repetition(pages)
+    labels = [p.weak(shown) for p in pages]
+    halves = [_weights(pages[k::2], labels[k::2]) for k in (1, 0)]  # of the other half
+    xs, ys = [], []
+    for at, (page, y) in enumerate(zip(pages, labels)):
+        x, n = page.features(halves[at % 2]), len(page.lines)
+        groups = [*page.blocks, *([i for k in ks for i in page.blocks[k]] for ks in page.sections)]
+        share = np.array([y[g].mean() if (y[g] >= 0).all() else -1 for g in groups])
+        whole = np.flatnonzero((share == 0) | (share == 1))
+        xs += [x[:n][y >= 0], x[n:][whole]]
+        ys += [y[y >= 0], share[whole]]
+    if not xs or not sum(map(len, ys)):
         return pd.DataFrame({"model": pd.Series([], dtype=str)})
-    model = BoostedTrees().fit(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
-    return pd.DataFrame({"model": [json.dumps(model.dump())]})
+    model = BoostedTrees().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
+    return pd.DataFrame({"model": [json.dumps(model.dump() | {"weights": _weights(pages, labels)})]})
 
 
 def fit_trees(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict | None:
-    """Trees fitted in one task on at most ``sample`` pages, those whose ids hash lowest; null where no page has text."""
-    chosen = pages.where("text is not null and trim(text) <> ''").orderBy(F.xxhash64("id"), "id").limit(sample).select("text", F.lit(0).alias("one"))
+    """Trees fitted in one task on at most ``sample`` pages, those whose ids hash lowest, of which ``SAMPLE_POINTS`` code points
+    are looked at; null where no page has text."""
+    chosen = pages.where("text is not null and trim(text) <> ''").orderBy(F.xxhash64("id"), "id").limit(sample).select(F.substring("text", 1, SAMPLE_POINTS).alias("text"), F.lit(0).alias("one"))
     rows = chosen.groupBy("one").applyInPandas(_fit, "model string").collect()
     return json.loads(rows[0][0]) if rows else None
 
@@ -260,22 +301,22 @@ def strip_boilerplate(pages: DataFrame, id_col: str = "note_id", text_col: str =
     if model is None:
         return own.sparkSession.createDataFrame([], "id bigint, line_no int, line string")
     wanted = keep == "boilerplate"
+    shared = own.sparkSession.sparkContext.broadcast(json.dumps(model))
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = BoostedTrees.load(model)
+        fitted = json.loads(shared.value)
+        trees, weights = BoostedTrees.load(fitted), fitted["weights"]
         for batch in batches:
             read = [(i, Page(t)) for i, t in zip(batch["id"], batch["text"])]
             read = [(i, p) for i, p in read if p.lines]
             if not read:
                 continue
-            parts = [p.features() for _, p in read]
-            line_scores = trees.score(np.concatenate([a for a, _ in parts]))
-            block_scores = trees.score(np.concatenate([b for _, b in parts]))
-            rows, at, bt = [], 0, 0
-            for (i, page), (a, b) in zip(read, parts):
-                drop = decode(page, line_scores[at : at + len(a)], block_scores[bt : bt + len(b)])
-                at, bt = at + len(a), bt + len(b)
-                rows += [(i, no, line) for no, line, out in zip(page.number, page.lines, drop) if out == wanted]
+            parts = [p.features(weights) for _, p in read]
+            scores = np.split(trees.score(np.concatenate(parts)), np.cumsum([len(x) for x in parts])[:-1])
+            rows = []
+            for (i, page), s in zip(read, scores):
+                n, m = len(page.lines), len(page.lines) + len(page.blocks)
+                rows += [(i, no, line) for no, line, out in zip(page.number, page.lines, decode(page, s[:n], s[n:m], s[m:])) if out == wanted]
             yield pd.DataFrame(rows, columns=["id", "line_no", "line"])
 
     return own.where("text is not null").mapInPandas(label, "id bigint, line_no int, line string")
