@@ -124,19 +124,20 @@ def title_from_name(path: Column) -> Column:
     return F.coalesce(blank_as_null(bare), F.lit("未命名笔记"))
 
 
-def source_type(known: Column, url: Column, path: Column, body: Column) -> Column:
-    """Kind of source: as known, else by address, file name and the body's head."""
+def source_type(known: Column, url: Column, path: Column, body: Column, course_folder: str = "/courses/") -> Column:
+    """Kind of source: as known, else by address, file name, the body's head and the folder that holds course notes."""
     name, url = F.substring_index(path, "/", -1), F.coalesce(url, F.lit(""))
     upper, body = F.upper(F.coalesce(name, F.lit(""))), F.coalesce(body, F.lit(""))
     return (
         F.when(strip(F.coalesce(known, F.lit(""))) != "", strip(known))
-        .when(url.rlike(r"/video/BV") | name.rlike(r"(?<![0-9A-Za-z])BV[0-9A-Za-z]+"), "bilibili")
+        .when(url.contains("bilibili.com/video/") | url.rlike(r"/video/BV") | name.rlike(r"(?<![0-9A-Za-z])BV[0-9A-Za-z]+"), "bilibili")
         .when(url.startswith("file://") | F.substring(body, 1, 800).contains("转录来源"), "local-video")
         .when(upper.startswith("PDF-"), "pdf")
         .when(upper.startswith("DOCX-"), "docx")
         .when(upper.startswith("CHAT-"), "lmstudio-conversation")
-        .when(upper.startswith("WECHAT-"), "wechat-article")
+        .when(upper.startswith("WECHAT-") | url.contains("mp.weixin.qq.com"), "wechat-article")
         .when(upper.startswith("WEB-") | url.rlike("^https?://"), "webpage")
+        .when(path.contains(course_folder), "course")
         .otherwise("markdown")
     )
 

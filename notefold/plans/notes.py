@@ -264,11 +264,11 @@ _FRONT = (
 _WORDS = r"regexp_replace(@t@, '" + W + "', '', 'g')"
 _DAY = r"'\d{4}-\d{2}-\d{2}'"
 _KIND = r"""CASE WHEN trim(coalesce(source_type, '')) <> '' THEN trim(source_type)
-    WHEN regexp_matches(coalesce(source_url, ''), '/video/BV') OR regexp_matches(regexp_extract(path, '[^/]*$'), '(^|[^0-9A-Za-z])BV[0-9A-Za-z]+') THEN 'bilibili'
+    WHEN contains(coalesce(source_url, ''), 'bilibili.com/video/') OR regexp_matches(coalesce(source_url, ''), '/video/BV') OR regexp_matches(regexp_extract(path, '[^/]*$'), '(^|[^0-9A-Za-z])BV[0-9A-Za-z]+') THEN 'bilibili'
     WHEN starts_with(coalesce(source_url, ''), 'file://') OR contains(substring(coalesce(body, ''), 1, 800), '转录来源') THEN 'local-video'
     WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'PDF-') THEN 'pdf' WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'DOCX-') THEN 'docx'
-    WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'CHAT-') THEN 'lmstudio-conversation' WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'WECHAT-') THEN 'wechat-article'
-    WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'WEB-') OR regexp_matches(coalesce(source_url, ''), '^https?://') THEN 'webpage' ELSE 'markdown' END"""
+    WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'CHAT-') THEN 'lmstudio-conversation' WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'WECHAT-') OR contains(coalesce(source_url, ''), 'mp.weixin.qq.com') THEN 'wechat-article'
+    WHEN starts_with(upper(regexp_extract(path, '[^/]*$')), 'WEB-') OR regexp_matches(coalesce(source_url, ''), '^https?://') THEN 'webpage' WHEN contains(path, '/courses/') THEN 'course' ELSE 'markdown' END"""
 
 
 def _case(table_: dict[str, str], key: str, default: str) -> str:
