@@ -227,6 +227,7 @@ class Model:
         for a, b in pairs:
             self.known.setdefault(b, []).append(a)
         self.options: dict[str, dict[str, float]] = {}
+        self.lows: dict[str, float] = {}
         self.rivals: dict[str, list[tuple[str, float]]] = {}
         self.confusions, self.seen = confusions, Counter()
         for (_, meant), n in confusions.items():
@@ -241,6 +242,13 @@ class Model:
                 self.costs[(a, b)] = cost
         return cost
 
+    def least(self, b: str) -> float:
+        """The least that ``b`` may cost behind any word."""
+        cost = self.lows.get(b)
+        if cost is None:
+            cost = self.lows[b] = min([self.alone(b) + math.log(4), *(self.pair(a, b) for a in self.known.get(b, ()))])
+        return cost
+
     def lead(self, a: str) -> float:
         """``a``'s part of the cost of an uncounted pair, which is ``lead(a) + alone(b)``."""
         return math.log(self.follow[a] + 4)
@@ -276,6 +284,19 @@ def _viterbi(slots: list[list[tuple[str, float]]], model: Model, before: str = "
     return path[::-1]
 
 
+def _sure(slots: list[list[tuple[str, float]]], model: Model, before: str = "") -> list[list[tuple[str, float]]]:
+    """``slots`` without rivals that can't win: between two words without a choice, doubting a word saves the costs of its two
+    pairs at most. Two passes, as a word freed of its rivals may free its neighbours."""
+    out = list(slots)
+    for _ in range(2):
+        for k, slot in enumerate(out):
+            if len(slot) > 1 and slot[0][1] == 0.0 and all(len(x) == 1 for x in (*out[max(0, k - 1) : k], *out[k + 1 : k + 2])):
+                saved = model.pair(out[k - 1][0][0] if k else before, slot[0][0]) + (model.pair(slot[0][0], out[k + 1][0][0]) if k + 1 < len(out) else 0.0)
+                if saved <= min(cost for _, cost in slot[1:]):
+                    out[k] = slot[:1]
+    return out
+
+
 def _han_options(seen: str, words: Words, model: Model) -> dict[str, float]:
     """Lexicon words that ``seen`` may mean, with one confused sign at most, and their channel costs."""
     options = model.options.get(seen)
@@ -297,17 +318,15 @@ def _han_decode(clause: str, words: Words, model: Model, open_start: bool, open_
     ``cut_start``, ``cut_end``: a word may be cut there. A sign there that ends or begins a lexicon word is then the rest of
     a cut word rather than a misread word of one sign, unless that confusion is known.
 
-    Of the words before, only those counted with a word are tried one by one: a counted pair costs less than it would
-    uncounted, and the best of the uncounted is the same for every word that follows.
+    The cost from each place to the clause's end is bounded from below without regard to the words before (``ahead``). The
+    path that bound would take has a cost of its own, and no partial path whose cost and bound exceed it is followed. Of the
+    words before, only those counted with a word are tried one by one: a counted pair costs less than it would uncounted,
+    and the best of the uncounted is the same for every word that follows. Neither changes the path found.
     """
     n = len(clause)
-    best: list[dict[str, tuple[float, tuple]]] = [{} for _ in range(n + 1)]
-    best[0][""] = (0.0, ())
+    edges: list[list[tuple[int, str, dict[str, float]]]] = []
     for i in range(n):
-        here = best[i]
-        if not here:
-            continue
-        least, least_path = min((s + model.lead(a), p) for a, (s, p) in here.items())
+        own = []
         for j in range(i + 1, min(n, i + words.longest) + 1):
             seen = clause[i:j]
             options = _han_options(seen, words, model)
@@ -316,13 +335,43 @@ def _han_decode(clause: str, words: Words, model: Model, open_start: bool, open_
             at_edge = i == 0 and open_start and seen in words.tails or j == n and open_end and seen in words.heads
             if seen not in options and (at_edge or j == i + 1):
                 options = options | {seen: 4.0 if at_edge else 25.0}  # an unknown sign stays as it is
+            if options:
+                own.append((j, seen, options))
+        edges.append(own)
+    ahead, step = [0.0] * (n + 1), [None] * n
+    for i in range(n - 1, -1, -1):
+        ahead[i], step[i] = min((cost + model.least(word) + ahead[j], (j, word, cost)) for j, _, options in edges[i] for word, cost in options.items())
+    most, i, last = 1e-6, 0, ""
+    while i < n:
+        j, word, cost = step[i]
+        most += model.pair(last, word) + cost
+        i, last = j, word
+    best: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
+    best[0][""] = (0.0, None)
+    for i in range(n):
+        here = best[i]
+        if not here:
+            continue
+        lowest = min(s for s, _ in here.values())
+        least, least_at = min((s + model.lead(a), a) for a, (s, _) in here.items())
+        for j, seen, options in edges[i]:
+            after, room = best[j], most - ahead[j] - lowest
             for word, cost in options.items():
+                if cost + model.least(word) > room:
+                    continue
                 known = model.known.get(word, ())
                 both = (a for a in known if a in here) if len(known) < len(here) else (a for a in here if (a, word) in model.pairs)
-                score, path = min([(least + model.alone(word) + cost, least_path), *((here[a][0] + model.pair(a, word) + cost, here[a][1]) for a in both)])
-                if word not in best[j] or score < best[j][word][0]:
-                    best[j][word] = (score, (*path, (seen, word)))
-    return list(min(best[n].values())[1]) if best[n] else None
+                score, at = min([(least + model.alone(word) + cost, least_at), *((here[a][0] + model.pair(a, word) + cost, a) for a in both)])
+                if score + ahead[j] <= most and (word not in after or score < after[word][0]):
+                    after[word] = (score, (i, at, seen))
+    if not best[n]:
+        return None
+    out, j, word = [], n, min(best[n], key=lambda w: (best[n][w][0], w))
+    while j:
+        i, at, seen = best[j][word][1]
+        out.append((seen, word))
+        j, word = i, at
+    return out[::-1]
 
 
 class PageReader:
@@ -445,6 +494,7 @@ class PageReader:
         if sign:
             cut.add(no)
         out = body
+        slots = _sure(slots, self.model, self.last)
         if any(half == "unknown" for _, _, half, _ in keys) or any(len(slot) > 1 or slot[0][0] != key[3] for slot, key in zip(slots, keys)):
             decoded = _viterbi(slots, self.model, self.last)
             for (a, b, half, token), word in reversed(list(zip(keys, decoded))):
@@ -480,7 +530,7 @@ class PageReader:
             clause = m.group()
             if self.words.cover.fullmatch(clause):
                 found = self.words.word.findall(clause)
-                slots = [[(w, 0.0), *self._rivals(w)] for w in found]
+                slots = _sure([[(w, 0.0), *self._rivals(w)] for w in found], self.model)
                 if "".join(found) == clause and any(len(slot) > 1 for slot in slots):
                     at = m.start()
                     for seen, meant in zip(found, _viterbi(slots, self.model)):
@@ -502,8 +552,11 @@ class PageReader:
                         noise.add((owner[at], "misread"))
                     signs[at] = b
                     at += 1
-        for no in dict.fromkeys(o for o in owner if o):
-            fixed[no] = "".join(s for s, o in zip(signs, owner) if o == no)
+        repaired: dict[int, list[str]] = {}
+        for sign, no in zip(signs, owner):
+            if no:
+                repaired.setdefault(no, []).append(sign)
+        fixed |= {no: "".join(own) for no, own in repaired.items()}
 
     def _paragraphs(self, raw: list[str], body: list[tuple[int, str]], fixed: dict, cut: set, marked: dict) -> list[tuple[bool, str]]:
         """Fragments in order; ``\\u0001`` at an end asks to be joined without space."""
