@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notefold.llm.tokens import VOCABULARY, counter
-from notefold.session import bounded_batches, materialise, spread
+from notefold.session import bounded_batches, materialise, small, spread
 
 #: Unsettled records of a source that one task of the reduction tree takes.
 FAN_IN = 64
 #: A record is large from this part of its source's tokens on, so a source has at most the inverse of them.
 LARGE = 0.01
-#: Sources that may be broadcast with their rates.
-MAX_SOURCES = 100_000
+#: Records that one task settles, and sources whose rates may be broadcast; more are joined by a shuffle.
+RECORDS_PER_TASK, BROADCAST_SOURCES = 20_000, 100_000
 
 _EPS = 1e-9
 _MASK = (1 << 64) - 1
@@ -103,9 +103,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
     spark = docs.sparkSession
     sized = count_tokens(docs, vocabulary)
     plan = materialise(rates(sized, targets), "rates")
-    if plan.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
-    rated = sized.join(F.broadcast(plan.select("source", "rate", F.col("n_tokens").alias("pool"))), "source")
+    rated = sized.join(small(plan.select("source", "rate", F.col("n_tokens").alias("pool")), BROADCAST_SOURCES), "source")
     is_large = F.col("n_tokens") >= LARGE * F.col("pool")
 
     def settle_large(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +128,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
 
     large = materialise(rated.where(is_large & (F.col("n_tokens") > 0)).groupBy("source").applyInPandas(settle_large, "doc_id bigint, source string, n_tokens bigint, copies bigint, rate double"), "large")
     shifted = large.where("copies = -2").select("source", F.col("rate").alias("shifted"))
-    small_ones = rated.where(~is_large | (F.col("n_tokens") == 0)).join(F.broadcast(shifted), "source", "left").select("doc_id", "source", "n_tokens", F.coalesce("shifted", "rate").alias("rate"))
+    small_ones = rated.where(~is_large | (F.col("n_tokens") == 0)).join(small(shifted, BROADCAST_SOURCES), "source", "left").select("doc_id", "source", "n_tokens", F.coalesce("shifted", "rate").alias("rate"))
     rated = small_ones.unionByName(large.where("copies = -1").select("doc_id", "source", "n_tokens", "rate"))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +163,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
         return pd.DataFrame(out, columns=["doc_id", "source", "n_tokens", "copies", "part_copy", "part"])
 
     # The largest first: a large record needs many small ones to settle against, and what is left at the end is small.
-    ordered = rated.sortWithinPartitions(F.desc("n_tokens"), "doc_id")
+    # Which records meet depends on their ids and number alone, not on how the table was stored.
+    tasks = max(1, -(-sized.count() // RECORDS_PER_TASK))
+    ordered = rated.repartition(tasks, F.xxhash64("doc_id")).sortWithinPartitions(F.desc("n_tokens"), "doc_id")
     level = materialise(ordered.mapInPandas(settle, _ROUNDED), "settled")
     done = level.where("copies >= 0").select("doc_id", "source", "n_tokens", "copies").unionByName(large.where("copies >= 0").select("doc_id", "source", "n_tokens", "copies"))
     width = (level.agg(F.max("part")).first()[0] or 0) + 1

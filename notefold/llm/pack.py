@@ -1,6 +1,6 @@
 """Packing of texts into containers of fixed capacity, by the sum-of-squares rule.
 
-Each partition packs its texts online: a text goes to the fill level for which the sum of squared counts of partly filled
+Texts are spread by a hash of their ids, and each task packs its texts online: a text goes to the fill level for which the sum of squared counts of partly filled
 containers grows least, the counts kept in an array by level. Containers left open at a partition's end then go up a
 reduction tree as items of their own, packed by the same rule, so that little space is lost however many partitions there
 are. The tree moves only open containers, and a task of it takes a bounded number of them.
@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 from notefold.llm.tokens import VOCABULARY, counter
 from notefold.session import bounded_batches, materialise, spread
 
-#: Open containers that one task of the reduction tree takes, how many partitions merge into one, and the fill from which
-#: a container counts as closed.
-OPEN_PER_TASK, FAN_IN, CLOSED = 50_000, 8, 0.995
+#: Texts that one task packs, open containers that one task of the reduction tree takes, and how many of its tasks merge into
+#: one. Which texts meet depends on their ids and number alone, not on how the table was stored.
+TEXTS_PER_TASK, OPEN_PER_TASK, FAN_IN = 20_000, 50_000, 8
+
+#: The fill from which a container counts as closed, and the part of the open containers above which a level that leaves so
+#: many is the last one. Containers open then stay as they are; ``fill_report`` counts them.
+CLOSED, LAST_LEVEL = 0.995, 0.98
 
 
 class SumOfSquares:
@@ -77,39 +81,46 @@ def pack_texts(docs: DataFrame, capacity: int, vocabulary: str = VOCABULARY, id_
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    schema = "doc_id bigint, piece_no int, n_pieces int, token_start bigint, n_tokens bigint, bin bigint"
+    schema = "doc_id bigint, piece_no int, n_pieces int, token_start bigint, n_tokens bigint"
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, base, packer = counter(vocabulary), TaskContext.get().partitionId() << 32, SumOfSquares(capacity)
+        count = counter(vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["id"], batch["text"]):
                 n = count(text) if text else 0
                 parts = max(1, -(-n // capacity))
                 for i in range(parts):
-                    size = min(capacity, n - i * capacity)
-                    rows.append((doc, i + 1, parts, i * capacity, size, base | packer.place(size) if size else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "n_pieces", "token_start", "n_tokens", "bin"]).astype({"bin": "Int64"})
+                    rows.append((doc, i + 1, parts, i * capacity, min(capacity, n - i * capacity)))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "n_pieces", "token_start", "n_tokens"])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, packer = TaskContext.get().partitionId() << 32, SumOfSquares(capacity)
+        for batch in batches:
+            yield batch.assign(bin=pd.array([base | packer.place(int(size)) if size else None for size in batch["n_tokens"]], dtype="Int64"))
 
-    placed = materialise(spread(docs, id_col).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(tokenise, schema), "placed")
+    sized = materialise(spread(docs, id_col).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInPandas(tokenise, schema), "sized")
+    first = max(1, -(-sized.count() // TEXTS_PER_TASK))
+    spread_out = sized.repartition(first, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id", "piece_no"), "doc_id", "piece_no")
+    placed = materialise(spread_out.mapInPandas(place, f"{schema}, bin bigint"), "placed")
     bins = placed.where("bin is not null").groupBy("bin").agg(F.sum("n_tokens").alias("size"))
     closed = int(capacity * CLOSED)
     opened = materialise(bins.where(F.col("size") < closed), "open")
     # A container's number after the levels so far; one that was never merged keeps its own.
     number = None
-    level, tasks = 0, max(1, placed.select(F.max(F.shiftright(F.col("bin"), 32).bitwiseAND((1 << 24) - 1))).first()[0] or 0) + 1
+    level, tasks = 0, first
     while True:
         before = opened.count()
         if tasks == 1 or before < 2:
             break
         level += 1
         tasks = max(1, -(-tasks // FAN_IN), -(-before // OPEN_PER_TASK))
-        ordered = opened.select(F.col("bin").alias("child"), "size").repartition(tasks, "child").sortWithinPartitions(F.desc("size"), "child")
+        ordered = opened.select(F.col("bin").alias("child"), "size").repartition(tasks, F.xxhash64("child", F.lit(level))).sortWithinPartitions(F.desc("size"), "child")
         merged = materialise(ordered.mapInPandas(_packer(capacity, level, "child"), "child bigint, size bigint, bin bigint"), "merged")
         step = merged.select("child", "bin")
         number = step if number is None else number.withColumnRenamed("bin", "mid").join(step.select(F.col("child").alias("mid"), F.col("bin").alias("next")), "mid", "left").select("child", F.coalesce("next", "mid").alias("bin"))
         opened = materialise(merged.groupBy("bin").agg(F.sum("size").alias("size")).where(F.col("size") < closed), "open")
-        if tasks > 1 and opened.count() > 0.98 * before:
+        if tasks > 1 and opened.count() > LAST_LEVEL * before:
             break
     if number is None:
         return placed.withColumnRenamed("bin", "container")

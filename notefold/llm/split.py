@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.session import bounded_batches
+from notefold.session import bounded_batches, small
 
 #: Boundaries from strong to weak; a cut is made at the end of a match.
 BOUNDARIES = [
@@ -73,7 +73,7 @@ def split_texts(items: DataFrame, limits: DataFrame) -> DataFrame:
     bounded_batches(items.sparkSession, 64)
     schema = "item_kind string, item_id bigint, piece_no int, n_pieces int, piece_start bigint, own_start bigint, piece_end bigint, text string"
     joined = items.select("item_kind", "item_id", "text").where("text is not null").join(
-        F.broadcast(limits.select("item_kind", "size_limit", "overlap").limit(1000)), "item_kind", "left"
+        small(limits.select("item_kind", "size_limit", "overlap"), 10_000), "item_kind", "left"
     )
     over = F.coalesce(F.length("text") > F.col("size_limit"), F.lit(False))
 

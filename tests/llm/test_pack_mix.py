@@ -81,3 +81,18 @@ def test_mix(spark):
     assert total == {s: r["mixed_tokens"] for s, r in got.items() if r["mixed_tokens"]}
     empty, report = mix_sources(docs(spark, []), targets)
     assert empty.count() == 0 and report.where("reachable").count() == 0
+
+
+def test_the_result_does_not_depend_on_how_the_table_is_stored(spark, monkeypatch):
+    import notefold.llm.mix as mix
+    import notefold.llm.pack as pack
+
+    monkeypatch.setattr(pack, "TEXTS_PER_TASK", 100)
+    monkeypatch.setattr(mix, "RECORDS_PER_TASK", 100)
+    df = spark.createDataFrame([(i, "word " * (i * 37 % 90 + 1), "ab"[i % 2]) for i in range(400)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 2)], "source string, target_share double, max_repeats int")
+    stored = [df.coalesce(1), df.repartition(7, "text")]
+    a, b = ({(r["doc_id"], r["piece_no"]): r["container"] for r in pack.pack_texts(d, 64).collect()} for d in stored)
+    assert a == b
+    a, b = ({r["doc_id"]: r["copies"] for r in mix.mix_sources(d, targets)[0].collect()} for d in stored)
+    assert a == b

@@ -42,3 +42,14 @@ def test_cases(spark):
     assert len(by[1]) % 2 == 0 and len(by[1]) > 2 and 3 not in by
     assert [r["text"] for r in by[2]] == [""] and len(by[4]) == 1 and len(by[5]) == 1
     assert split_texts(items.limit(0).select("item_kind", "item_id", "text"), limits).count() == 0
+
+
+def test_more_kinds_than_a_broadcast_takes(spark, monkeypatch):
+    import notefold.llm.split as split
+
+    kinds = [(f"k{i}", 8, 2) for i in range(1500)]
+    items = spark.createDataFrame([(k, i, "x" * 20) for i, (k, _, _) in enumerate(kinds)], "item_kind string, item_id bigint, text string")
+    limits = spark.createDataFrame(kinds, "item_kind string, size_limit bigint, overlap bigint")
+    assert split.split_texts(items, limits).where("n_pieces = 1").count() == 0
+    monkeypatch.setattr(split, "small", lambda df, rows: df)  # the shuffled join gives the same
+    assert split.split_texts(items, limits).where("n_pieces = 1").count() == 0
