@@ -177,7 +177,7 @@ def sampled_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each reference term occurs in."""
-    d, t = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "ocr_lexicon").where("length(word) > 1")
+    d, t = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "ocr_lexicon")
     return terms.names_in(d, "doc_id", "text", t, "word").groupBy("name").agg(F.count("*").alias("documents"))
 
 
@@ -311,7 +311,7 @@ SQL = {
         length({_strip(rf"regexp_replace(part, '^[^\n]*\n?', '')")}) AS size FROM ({_TURNS})) GROUP BY role""",
     "first_seen_texts": "SELECT min(doc_id) AS doc_id, sha256(text) AS text_hash, arg_min(coalesce(source, ''), doc_id) AS source FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)",
     "sampled_notes": "SELECT note_id, coalesce(source_type, '') AS source_type FROM notes QUALIFY row_number() OVER (PARTITION BY coalesce(source_type, '') ORDER BY note_id) <= 2",
-    "term_names": "SELECT word AS name, count(DISTINCT doc_id) AS documents FROM documents JOIN (SELECT DISTINCT word FROM ocr_lexicon WHERE length(word) > 1) ON contains(text, word) GROUP BY word",
+    "term_names": "SELECT word AS name, count(DISTINCT doc_id) AS documents FROM documents JOIN (SELECT DISTINCT word FROM ocr_lexicon) ON contains(text, word) GROUP BY word",
     "page_amounts": f"""SELECT source, coalesce(backend, '') AS backend, count(*) AS n_pages, sum({_SIGNS}) AS n_signs, count(*) FILTER ({_SIGNS} < 30) AS n_sparse,
         sum({_SIGNS}) < 160 OR count(*) FILTER ({_SIGNS} < 30) >= greatest(1.0, count(*) / 2.0) AS needs_ocr FROM page_results GROUP BY source, coalesce(backend, '')""",
     "pages_missing": """SELECT source, backend, count(*) AS n_missing FROM (SELECT source, backend, unnest(range(1, total + 1)) AS page FROM

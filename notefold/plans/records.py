@@ -195,7 +195,8 @@ def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per label, usable vectors unlike each other, in stretches of a hundred ids."""
+    """Usable vectors unlike each other within a recording, for which a label's run of a hundred ids stands; frames of different
+    recordings are never compared."""
     e = table(spark, sf_dir, "embeddings").withColumn("stretch", F.floor(F.col("vec_id") / 100))
     listed = F.array_sort(F.collect_list(F.struct(F.col("vec_id").cast("double").alias("t"), F.col("embedding").alias("f"))))
     chosen = e.groupBy("label", "stretch").agg(frames.usable_frames(listed, 5, 64, -1.0, 1.0, 0.01, 0.05, 1.0).alias("times"))

@@ -43,12 +43,19 @@ def commit_version(df: DataFrame, target: str) -> str:
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
     _, pointer = _fs(spark, f"{target}/_current")
-    fs.delete(pointer, False)
-    if not fs.rename(temp, pointer):
-        raise OSError(f"{target}: the pointer could not be put in place")
+    _replace(spark, temp, pointer)
     return version
 
 
+def _replace(spark: SparkSession, source, target) -> None:
+    """Rename over an existing file in one step, so that a reader at no time finds none."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    uri = target.getFileSystem(conf).makeQualified(target).toUri()
+    hadoop.FileContext.getFileContext(uri, conf).rename(source, target, overwrite)
+
+
 def current_version(spark: SparkSession, target: str) -> DataFrame | None:
     """The committed table, or None where none was committed."""
     fs, pointer = _fs(spark, f"{target}/_current")
