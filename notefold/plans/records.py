@@ -113,9 +113,10 @@ def drafts_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drafts_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts whose address has an organised note."""
-    n = table(spark, sf_dir, "notes").where("source_url <> ''")
-    return n.where("status = 'draft'").join(n.where("status = 'organized'").select("source_url").distinct(), "source_url", "left_semi").select("note_id", "source_url")
+    """Items not organised whose address has an organised item."""
+    i = table(spark, sf_dir, "manifest_items").where("source_url <> ''")
+    done = i.where("organized_status = 'organized'").select("source_url").distinct()
+    return i.where("coalesce(organized_status, '') <> 'organized'").join(done, "source_url", "left_semi").select("item_id", "source_url")
 
 
 def transcript_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +285,7 @@ SQL = {
         FROM notes WHERE source_url <> '') WHERE r = 1""",
     "drafts_backfilled": """SELECT o.note_id, o.source_url, d.draft_id FROM notes o LEFT JOIN (SELECT source_url, max(note_id) AS draft_id FROM notes WHERE status = 'draft' AND source_url <> '' GROUP BY source_url) d
         ON o.source_url = d.source_url WHERE o.status = 'organized' AND o.source_url <> ''""",
-    "drafts_archived": "SELECT note_id, source_url FROM notes WHERE status = 'draft' AND source_url <> '' AND source_url IN (SELECT source_url FROM notes WHERE status = 'organized')",
+    "drafts_archived": "SELECT item_id, source_url FROM manifest_items WHERE coalesce(organized_status, '') <> 'organized' AND source_url <> '' AND source_url IN (SELECT source_url FROM manifest_items WHERE organized_status = 'organized')",
     "transcript_sources": "SELECT lower(trim(coalesce(transcript_source, ''))) AS source, count(*) AS transcripts FROM transcripts GROUP BY 1",
     "chosen_transcripts": """SELECT note_id, transcript_id FROM transcripts WHERE note_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY CASE lang WHEN 'zh' THEN 1 WHEN 'en' THEN 2 ELSE 9 END,
         regexp_matches(lower(coalesce(transcript_source, '')), 'asr|whisper'), transcript_id) = 1""",
