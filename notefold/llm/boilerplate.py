@@ -295,7 +295,7 @@ def strip_boilerplate(pages: DataFrame, id_col: str = "note_id", text_col: str =
     Lines are counted from 1 between line feeds, blank ones included; blank ones are never returned. Null and blank pages
     have no lines; repeated rows give repeated lines; other columns are left out.
     """
-    bounded_batches(pages.sparkSession, 256)
+    bounded_batches(pages.sparkSession)
     own = spread(pages, id_col).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     model = model or fit_trees(own)
     if model is None:

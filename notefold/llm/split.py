@@ -70,7 +70,7 @@ def split_texts(items: DataFrame, limits: DataFrame) -> DataFrame:
     Offsets count code points from 0, ``piece_no`` counts from 1. A null text gives no piece, an empty one a single empty
     piece, a kind without limit a single whole piece. Repeated rows give repeated pieces; other columns are left out.
     """
-    bounded_batches(items.sparkSession, 64)
+    bounded_batches(items.sparkSession)
     schema = "item_kind string, item_id bigint, piece_no int, n_pieces int, piece_start bigint, own_start bigint, piece_end bigint, text string"
     joined = items.select("item_kind", "item_id", "text").where("text is not null").join(
         small(limits.select("item_kind", "size_limit", "overlap"), 10_000), "item_kind", "left"

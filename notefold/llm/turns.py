@@ -261,7 +261,7 @@ def speaker_turns(transcripts: DataFrame, roster: DataFrame) -> DataFrame:
     that is not in the roster, and in a transcript without roster. Repeated rows give repeated turns; other columns are left
     out.
     """
-    bounded_batches(transcripts.sparkSession, 128)
+    bounded_batches(transcripts.sparkSession)
     schema = "transcript_id bigint, turn_no int, known_no int, speaker string, start_second double, words string, transcript_source string"
     own = roster.where("speaker is not null").groupBy("transcript_id").agg(F.array_sort(F.collect_set(F.struct("speaker_no", "speaker", "speaker_role"))).alias("roster"))
     joined = spread(transcripts, "transcript_id").select("transcript_id", "transcript_source", "transcript_text").where("transcript_text is not null").join(small(own, 20_000), "transcript_id", "left")
