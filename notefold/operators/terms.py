@@ -21,7 +21,7 @@ MAX_TERMS = 500_000
 
 def names_in(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, name: str) -> DataFrame:
     """``id, name`` for each name that occurs anywhere in a text, once per text. Null texts and empty names match nothing."""
-    bounded_batches(texts.sparkSession, 256)
+    bounded_batches(texts.sparkSession)
     names = [r[0] for r in terms.where(F.col(name).isNotNull() & (F.col(name) != "")).select(name).distinct().limit(MAX_TERMS + 1).collect()]
     if len(names) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms")

@@ -13,8 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-#: Bytes up to which a side of a join is broadcast.
-BROADCAST_BYTES = 32_000_000
+#: Bytes up to which a side of a join is broadcast, and bytes of an Arrow batch.
+BROADCAST_BYTES, BATCH_BYTES = 32_000_000, 8_000_000
 
 _WRITTEN: list[str] = []
 
@@ -92,6 +92,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small for operators over whole texts, whose rows may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes, for operators over whole texts, whose rows may be long.
+
+    All operators ask for the same bound, so a plan built earlier and run later is not changed by it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notefold.session import bounded_batches
 from notefold.functions.python_text import decoded
 from notefold.functions.text import blank_as_null, strip
 from notefold.operators.manifest import sampled_by_kind
@@ -191,7 +192,7 @@ def _opened(files: DataFrame, schema: str, rows) -> DataFrame:
                     out.append((path, *[None] * len(columns), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", *columns, "error"])
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    bounded_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(read, f"path string, {schema}, error string")
 
 
