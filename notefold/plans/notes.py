@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,8 +284,29 @@ _ORIGINAL = rf"coalesce(nullif({_strip(rf"regexp_extract(body, '(?s)(?:^|\n)##[^
 _SIGNS = f"coalesce(length({_WORDS.replace("@t@", 'text')}), 0)"
 _TURNS = r"""SELECT doc_id, unnest(list_slice(regexp_split_to_array(chr(10) || regexp_replace(text, '\r\n?', chr(10), 'g'), '\n(### )'), 2, 1000000)) AS part FROM documents WHERE note_type = 'chat' AND text IS NOT NULL"""
 
+def _chunk_sql(source: str, key: str, text: str, limit: int, overlap: int, marks: tuple[str, ...], keep: int = 0, stripped: bool = True, first: bool = False) -> str:
+    """The chunkers' contract by recursion over starts; ``first`` takes the first mark found instead of the last place."""
+    shared = min(overlap, limit // 3)
+    stretch = limit if first else min(limit - limit // 2, max(2 * shared, 1))
+    chars = lambda m: " || ".join("chr(10)" if part == "\n" else f"'{part}'" for part in re.split("(\n)", m) if part)
+    low = f"greatest(s + {limit - stretch}, s + 1)"
+    tail = lambda m: f"list_extract(string_split(w, {chars(m)}), -1)"
+    odd = lambda m: f" + CASE WHEN starts_with({tail(m)}, chr(10)) THEN 1 ELSE 0 END" if m == "\n\n" else ""
+    place = lambda m: f"CASE WHEN contains(w, {chars(m)}) THEN low + length(w) - length({tail(m)}) - {len(m)}{odd(m)} + {keep} END"
+    end = f"CASE WHEN s + {limit} >= n THEN n ELSE coalesce({'coalesce' if first else 'greatest'}({', '.join(map(place, marks))}), s + {limit}) END"
+    step = lambda rows: f"SELECT id, t, n, s, {end} AS e FROM (SELECT *, {low} AS low, substring(t, {low} + 1, s + {limit} - {low}) AS w FROM ({rows}))"
+    body = _strip(text) if stripped else text
+    own = f"SELECT {key} AS id, {body} AS t, length({body}) AS n FROM {source} WHERE {text} IS NOT NULL" + (f" AND {body} <> ''" if stripped else "")
+    part = _strip("substring(t, s + 1, e - s)")
+    return f"""WITH RECURSIVE own AS ({own}), c AS ({step(f"SELECT *, 0 AS s FROM own WHERE n > {limit}")} UNION ALL {step(f"SELECT id, t, n, CASE WHEN e - {shared} > s THEN e - {shared} ELSE e END AS s FROM c WHERE e < n")})
+        SELECT id AS {key}, CAST(row_number() OVER (PARTITION BY id ORDER BY s) AS INTEGER) AS chunk_no, length({part}) AS size FROM c WHERE {part} <> '' UNION ALL SELECT id, 1, n FROM own WHERE n <= {limit}"""
+
+
 SQL = {
     "note_index": _INDEX,
+    "note_chunks": _chunk_sql("notes", "note_id", "body", 22_000, 800, ("\n## ", "\n\n", "\n", "。"), stripped=False),
+    "speech_chunks": _chunk_sql("transcripts", "transcript_id", "transcript_text", 20_000, 800, ("\n\n", "\n", "。", "！", "？"), keep=1),
+    "plain_chunks": _chunk_sql("documents", "doc_id", "text", 16_000, 0, ("\n\n", "\n"), first=True),
     "note_index_totals": f"SELECT source_type, count(*) AS notes, sum(n_assets) AS assets, sum(n_links) AS links, sum(size) AS size FROM ({_INDEX}) GROUP BY source_type",
     "clean_texts": f"SELECT note_id, substring(sha256({_CLEAN}), 1, 16) AS cleaned, substring(sha256({_TIDY}), 1, 16) AS tidied, substring(sha256({_SQUEEZE.replace("@b@", 'body')}), 1, 16) AS squeezed, substring(sha256({_COMPACT}), 1, 16) AS compacted FROM notes WHERE body IS NOT NULL",
     "slugs": rf"""SELECT note_id, {_SLUG.replace("@t@", 'title')} AS slug,
