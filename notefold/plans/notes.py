@@ -302,8 +302,26 @@ def _chunk_sql(source: str, key: str, text: str, limit: int, overlap: int, marks
         SELECT id AS {key}, CAST(row_number() OVER (PARTITION BY id ORDER BY s) AS INTEGER) AS chunk_no, length({part}) AS size FROM c WHERE {part} <> '' UNION ALL SELECT id, 1, n FROM own WHERE n <= {limit}"""
 
 
+def _rest(title: str) -> str:
+    return _strip(rf"regexp_extract(m, '(?s)(?:^|\n)##[^\S\n]+{title}[^\S\n]*\n(.+)\z', 1)")
+
+
+# A rule a note breaks, as validate.violations names it, and when.
+_BROKEN = {
+    "draft path": r"regexp_matches(m, '(^|\n)draft_path:')",
+    "no source": r"NOT regexp_matches(m, '(^|\n)(source_path|source_url):[ \t]*\S') AND NOT contains(m, '## 来源追溯')",
+    "subtitle missing": r"note_type = 'video-note' AND NOT regexp_matches(m, '(^|\n)(##\s+原始字幕|<summary>📄\s*原始字幕</summary>)')",
+    "not organised": r"note_type = 'source-conversion' AND NOT regexp_matches(m, '(^|\n)status:\s*organized\s*(\n|\z)')",
+    "original missing": f"note_type = 'source-conversion' AND {_rest('原文抽取')} = ''",
+}
+
 SQL = {
     "note_index": _INDEX,
+    "note_violations": f"SELECT id, unnest(list_filter([{', '.join(f"CASE WHEN {test} THEN '{rule}' END" for rule, test in _BROKEN.items())}], lambda x: x IS NOT NULL)) AS rule FROM (SELECT note_id AS id, note_type, {_FRONT} AS m FROM notes)",
+    "frontmatter_parsed": rf"""SELECT note_id, len(list_filter([title, source_type, source_url, bvid, author, published, status], lambda x: x IS NOT NULL)) + CASE WHEN tags IS NULL THEN 0 ELSE 1 END AS n_fields,
+        nullif({_strip("status")}, '') AS status, length(regexp_replace({_B}, '^\n+', '')) AS body_size FROM notes""",
+    "transcript_sections": f"""SELECT transcript_id, sha256({_strip("transcript_text")}) AS text_hash, concat_ws(chr(10), '# t', '', '## 核心观点', '', 'x', '') AS rest, true AS put FROM transcripts
+        WHERE transcript_text IS NOT NULL AND trim(transcript_text) <> ''""",
     "note_chunks": _chunk_sql("notes", "note_id", "body", 22_000, 800, ("\n## ", "\n\n", "\n", "。"), stripped=False),
     "speech_chunks": _chunk_sql("transcripts", "transcript_id", "transcript_text", 20_000, 800, ("\n\n", "\n", "。", "！", "？"), keep=1),
     "plain_chunks": _chunk_sql("documents", "doc_id", "text", 16_000, 0, ("\n\n", "\n"), first=True),

@@ -285,6 +285,10 @@ SQL = {
         FROM notes WHERE source_url <> '') WHERE r = 1""",
     "drafts_backfilled": """SELECT o.note_id, o.source_url, d.draft_id FROM notes o LEFT JOIN (SELECT source_url, max(note_id) AS draft_id FROM notes WHERE status = 'draft' AND source_url <> '' GROUP BY source_url) d
         ON o.source_url = d.source_url WHERE o.status = 'organized' AND o.source_url <> ''""",
+    "thinned_times": """WITH RECURSIVE g AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list(CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE))) AS l FROM events GROUP BY ALL),
+        k AS (SELECT *, l[1] AS s, 1 AS n FROM g UNION ALL SELECT user_id, day, l, list_min(list_filter(l, lambda x: x >= s + 60)), n + 1 FROM k WHERE n < 15 AND list_max(l) >= s + 60)
+        SELECT user_id, day, max(n) AS kept, any_value(round(CASE WHEN list_min(list_transform(l, lambda x: abs(x - 43200))) <= 7200
+            THEN list_filter(l, lambda x: abs(x - 43200) = list_min(list_transform(l, lambda y: abs(y - 43200))))[1] ELSE 43200 END, 2)) AS noon FROM k GROUP BY user_id, day""",
     "drafts_archived": "SELECT item_id, source_url FROM manifest_items WHERE coalesce(organized_status, '') <> 'organized' AND source_url <> '' AND source_url IN (SELECT source_url FROM manifest_items WHERE organized_status = 'organized')",
     "transcript_sources": "SELECT lower(trim(coalesce(transcript_source, ''))) AS source, count(*) AS transcripts FROM transcripts GROUP BY 1",
     "chosen_transcripts": """SELECT note_id, transcript_id FROM transcripts WHERE note_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY CASE lang WHEN 'zh' THEN 1 WHEN 'en' THEN 2 ELSE 9 END,
