@@ -41,11 +41,31 @@ SHAPES = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("1", "l"), ("i", "l"), ("0", "
 _DIGIT = "[0-9OolISsBZgqi|]"
 _NUMBER = rf"(?:[0-9]{_DIGIT}{{0,4}}|{_DIGIT}{{1,3}}[0-9]{_DIGIT}{{0,2}}|[ivxlcIVXLC1|]{{1,7}}|[OolI|]{{2,4}})"
 PAGE_NO = rf"^\s*(?:([\[(（—·\-–~<]+\s*)?({_NUMBER})(\s*[\])）—·\-–~>]+)?(?:\s*/\s*{_NUMBER})?|(?:[Pp](?:age|\.)|PAGE|[Pp].{{2,3}})\s*{_NUMBER}|第\s*{_NUMBER}\s*[页頁])\s*$"
-CHAPTER = r"^\s*(?:(?i:c[hb][ao]p[tf][ec]r)\s+\S{1,4}\s+\S|第\s*\S{1,4}?\s*章)"
+HAN_CHAPTER = r"^\s*第\s*\S{1,4}?\s*章"
+NUMBERED = r"^\s*(\S+)\s+\S{1,4}\s+\S"
+#: A heading's first word, and by how many edits it may be misread.
+CHAPTER_WORD, CHAPTER_EDITS = "chapter", 2
 _CJK = re.compile(r"[一-鿿]")
 _TOKEN = re.compile(rf"[^\s.,;:!?()\[\]\"“”。，；：！？（）%/·—]+")
 
 
+def is_chapter(line: Column) -> Column:
+    """Whether a line is the heading where a chapter starts."""
+    word = F.lower(F.regexp_extract(line, NUMBERED, 1))
+    return line.rlike(HAN_CHAPTER) | ((word != "") & (F.levenshtein(word, F.lit(CHAPTER_WORD)) <= CHAPTER_EDITS))
+
+
+@lru_cache(10_000)
+def _like_chapter(word: str) -> bool:
+    return abs(len(word) - len(CHAPTER_WORD)) <= CHAPTER_EDITS and len(_edits(word, CHAPTER_WORD)) <= CHAPTER_EDITS
+
+
+def starts_chapter(line: str) -> bool:
+    """``is_chapter`` of one line."""
+    m = re.match(NUMBERED, line)
+    return bool(m and _like_chapter(m.group(1).lower())) or re.match(HAN_CHAPTER, line) is not None
+
+
 def _skeleton(line: Column) -> Column:
     """What is left of a line when its page number, spaces and confusable shapes are evened out."""
     bare = F.regexp_replace(F.regexp_replace(line, rf"^\s*{_NUMBER}\s{{2,}}", ""), rf"\s{{2,}}{_NUMBER}\s*$", "")
@@ -69,7 +89,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
         F.least("at", F.col("n") - 1 - F.col("at")).alias("depth"),
         _skeleton(F.col("x.line")).alias("skeleton"),
         F.col("x.line").rlike(PAGE_NO).alias("number"),
-        F.col("x.line").rlike(CHAPTER).alias("chapter"),
+        is_chapter(F.col("x.line")).alias("chapter"),
     )
     digits = F.regexp_extract("line", rf"({_NUMBER})", 1)
     style = F.regexp_replace("line", rf"{_NUMBER}|\s+", "")
@@ -77,7 +97,6 @@ def page_edges(pages: DataFrame) -> DataFrame:
     edges = materialise(
         edges.withColumn("style", F.when(F.col("number"), style)).withColumn("offset", F.when(F.col("number") & F.lower(digits).rlike("[0-9]"), value - F.col("page"))), "edges"
     )
-    titled = F.regexp_replace("skeleton", r"^ehoptel?r.{1,4}?(?=[a-z])|^第.{1,4}?章", "")
     titles = edges.where("chapter").select("source", F.regexp_replace(F.col("line"), r"^\s*(?:\S+\s+\S{1,4}\s+|第\s*\S{1,4}?\s*章\s*)", "").alias("title"))
     titles = titles.select("source", _skeleton(F.col("title")).alias("skeleton")).where("length(skeleton) > 3").distinct().withColumn("titled", F.lit(True))
     again = edges.where("not number and depth < 2 and length(skeleton) > 3").groupBy("source", "skeleton").agg(
@@ -517,11 +536,11 @@ class PageReader:
         signs, owner = list(head), [0] * len(head)
         for no, line in lines:
             own = strip(line)
-            if owner and owner[-1] and re.match(CHAPTER, line):
+            if owner and owner[-1] and starts_chapter(line):
                 signs.append("\n"), owner.append(0)
             signs += own
             owner += [no] * len(own)
-            if re.match(CHAPTER, line):
+            if starts_chapter(line):
                 signs.append("\n"), owner.append(0)
         signs += tail
         owner += [0] * len(tail)
@@ -565,7 +584,7 @@ class PageReader:
         last = 0
         for no, line in body:
             blank = any(not raw[i - 1].strip() for i in range(last + 1, no) if i not in marked)
-            chapter = bool(re.match(CHAPTER, line))
+            chapter = starts_chapter(line)
             anew = chapter or blank and bool(out) or (indented and line[:2] in ("  ", "　　", "\t")) or (bool(out) and out[-1][2])
             text = fixed.get(no, line).strip(" \t　\r")
             glue = "\u0001" if no in cut and not text.endswith("-") or _CJK.search(text[-1:]) or text[-1:] in "，。、；：！？" else "\u0001" if text.endswith("-") else " "
