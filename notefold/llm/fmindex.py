@@ -48,7 +48,7 @@ class WaveletMatrix:
 
 
 def _dense(values: np.ndarray) -> np.ndarray:
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)  # equal values get equal ranks, so their order is free
     v = values[order]
     ranks = np.empty(len(values), np.int64)
     ranks[order] = np.concatenate(([0], np.cumsum(v[1:] != v[:-1])))
@@ -85,19 +85,26 @@ class FMIndex:
         lengths = np.array([len(t) for t in texts], np.int64)
         joined = np.concatenate([np.append(t.astype(np.int64) + 1, 0) for t in texts])
         alphabet, s = np.unique(joined, return_inverse=True)
-        n, ranks, width = len(s), [s.astype(np.int64)], 1
-        while width < depth:
+        # Ranks by the first 4, 8, 16, ... symbols (1, 2, 4, ... where four don't fit a number).
+        n, sigma = len(s), len(alphabet) + 1
+        width = 4 if sigma**4 < 2**62 else 1
+        padded = np.concatenate((s.astype(np.int64) + 1, np.zeros(width, np.int64)))
+        packed = padded[:n].copy()
+        for k in range(1, width):
+            packed = packed * sigma + padded[k : k + n]
+        ranks = [(width, _dense(packed))]
+        while ranks[-1][0] < depth:
+            width, rank = ranks[-1]
             after = np.full(n, -1, np.int64)
-            after[: max(0, n - width)] = ranks[-1][width:]
-            ranks.append(_dense(ranks[-1] * (n + 1) + after + 1))
-            width *= 2
-        order = np.argsort(ranks[-1], kind="stable")
+            after[: max(0, n - width)] = rank[width:]
+            ranks.append((width * 2, _dense(rank * (n + 1) + after + 1)))
+        order = np.argsort(ranks[-1][1])
+        # What neighbours have in common: at most once each width from the largest down, then single symbols.
         common, left, right = np.zeros(n, np.int64), order[:-1], order[1:]
-        for k in range(len(ranks) - 1, -1, -1):
+        for width, rank in [*reversed(ranks), *[(1, s)] * (ranks[0][0] - 1)]:
             a, b = left + common[1:], right + common[1:]
-            inside = (a < n) & (b < n)
-            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
-            common[1:] += same * (1 << k)
+            same = (a < n) & (b < n) & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
+            common[1:] += same * width
         people, both = np.unique(np.concatenate((low, high)), return_inverse=True)
         parts = {
             "alphabet": alphabet, "transform": s[order - 1].astype(np.int32), "common": np.minimum(common, depth).astype(np.int16 if depth < 2**15 else np.int32),
