@@ -317,6 +317,14 @@ _BROKEN = {
 
 SQL = {
     "note_index": _INDEX,
+    "page_windows": r"""WITH RECURSIVE p AS (SELECT source, coalesce(backend, '') AS backend, page, coalesce(CAST(page AS VARCHAR), 'None') AS label,
+            length('### Page ' || coalesce(CAST(page AS VARCHAR), 'None') || chr(10) || chr(10) || coalesce(nullif(text, ''), '本页未抽取到可读文本。')) AS size FROM page_results),
+        g AS (SELECT source, backend, list(page ORDER BY page NULLS LAST, size) AS pages, list(label ORDER BY page NULLS LAST, size) AS labels, list(size ORDER BY page NULLS LAST, size) AS sizes FROM p GROUP BY ALL),
+        h AS (SELECT *, list_transform(range(0, len(sizes) + 1), lambda j: coalesce(list_sum(list_slice(sizes, 1, j)), 0)) AS upto FROM g),
+        c AS (SELECT *, 0 AS a, 1 AS no, greatest(1, coalesce(list_max(list_filter(range(1, len(sizes) + 1), lambda j: upto[j + 1] <= 18000)), 1)) AS e FROM h
+            UNION ALL SELECT source, backend, pages, labels, sizes, upto, a, no, greatest(f, coalesce(list_max(list_filter(range(f, len(sizes) + 1), lambda j: upto[j + 1] - upto[a + 1] <= 18000)), f)) AS e
+            FROM (SELECT source, backend, pages, labels, sizes, upto, greatest(a, e - 1) AS a, no + 1 AS no, e + 1 AS f FROM c WHERE e < len(sizes)))
+        SELECT source, backend, CAST(floor(pages[a + 1] / 512) AS INTEGER) AS pack_run, no AS pack_no, array_to_string(list_slice(labels, a + 1, e), ', ') AS labels, upto[e + 1] - upto[a + 1] + 2 * (e - a - 1) AS size FROM c""",
     "note_violations": f"SELECT id, unnest(list_filter([{', '.join(f"CASE WHEN {test} THEN '{rule}' END" for rule, test in _BROKEN.items())}], lambda x: x IS NOT NULL)) AS rule FROM (SELECT note_id AS id, note_type, {_FRONT} AS m FROM notes)",
     "frontmatter_parsed": rf"""SELECT note_id, len(list_filter([title, source_type, source_url, bvid, author, published, status], lambda x: x IS NOT NULL)) + CASE WHEN tags IS NULL THEN 0 ELSE 1 END AS n_fields,
         nullif({_strip("status")}, '') AS status, length(regexp_replace({_B}, '^\n+', '')) AS body_size FROM notes""",
