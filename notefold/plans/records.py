@@ -285,6 +285,11 @@ SQL = {
         FROM notes WHERE source_url <> '') WHERE r = 1""",
     "drafts_backfilled": """SELECT o.note_id, o.source_url, d.draft_id FROM notes o LEFT JOIN (SELECT source_url, max(note_id) AS draft_id FROM notes WHERE status = 'draft' AND source_url <> '' GROUP BY source_url) d
         ON o.source_url = d.source_url WHERE o.status = 'organized' AND o.source_url <> ''""",
+    "frames_chosen": """WITH RECURSIVE f AS (SELECT label, CAST(floor(vec_id / 100) AS BIGINT) AS stretch, list(CAST(vec_id AS DOUBLE) ORDER BY vec_id) AS t, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS v FROM embeddings GROUP BY ALL),
+        c AS (SELECT *, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS kept FROM f UNION ALL SELECT label, stretch, t, v, nxt, list_append(kept, nxt) FROM (
+            SELECT *, list_min(list_filter(range(pos + 1, len(t) + 1), lambda i: (pos = 0 OR t[i] - t[pos] >= 1) AND len(v[i]) = 64 AND list_avg(v[i]) BETWEEN -1 AND 1 AND list_stddev_pop(v[i]) >= 0.01
+                AND len(list_filter(kept, lambda k: list_avg(list_transform(v[i], lambda x, d: abs(x - v[k][d]))) < 0.05)) = 0)) AS nxt FROM c WHERE len(kept) < 5) WHERE nxt IS NOT NULL)
+        SELECT label, stretch, CAST(t[pos] AS BIGINT) AS vec_id FROM c WHERE pos > 0""",
     "thinned_times": """WITH RECURSIVE g AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list(CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE))) AS l FROM events GROUP BY ALL),
         k AS (SELECT *, l[1] AS s, 1 AS n FROM g UNION ALL SELECT user_id, day, l, list_min(list_filter(l, lambda x: x >= s + 60)), n + 1 FROM k WHERE n < 15 AND list_max(l) >= s + 60)
         SELECT user_id, day, max(n) AS kept, any_value(round(CASE WHEN list_min(list_transform(l, lambda x: abs(x - 43200))) <= 7200
