@@ -315,8 +315,14 @@ _BROKEN = {
     "original missing": f"note_type = 'source-conversion' AND {_rest('原文抽取')} = ''",
 }
 
+_sq = lambda x: _SQUEEZE.replace("@b@", x)
+_MERGED = rf"""SELECT note_id, CASE WHEN len(cut) = 1 THEN {_sq("m")} ELSE {_sq("array_to_string(list_filter(list_concat([" + _sq("cut[1]") + "], flatten(list_transform(list_filter(ts, lambda x, i: NOT list_contains(list_slice(ts, 1, i - 1), x)), lambda t: [t, array_to_string(list_filter(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN ts[i] = t AND bs[i] <> '' AND NOT list_contains(list_slice(tb, 1, i - 1), tb[i]) THEN bs[i] END), lambda x: x IS NOT NULL), chr(10) || chr(10))]))), lambda p: " + _strip("p") + " <> ''), chr(10) || chr(10))")} END AS merged
+    FROM (SELECT *, list_transform(range(1, len(ts) + 1), lambda i: ts[i] || chr(2) || bs[i]) AS tb FROM (SELECT *, list_transform(cut[2:], lambda x: split_part(x, chr(10), 1)) AS ts, list_transform(cut[2:], lambda x: {_sq(r"regexp_replace(x, '^[^\n]*\n?', '')")}) AS bs
+    FROM (SELECT note_id, m, string_split(replace(chr(10) || {_lines("m")}, chr(10) || '## ', chr(10) || chr(1) || '## '), chr(10) || chr(1)) AS cut FROM (SELECT note_id, body || chr(10) || chr(10) || body AS m FROM notes WHERE body IS NOT NULL))))"""
+
 SQL = {
     "note_index": _INDEX,
+    "sections_merged": f"SELECT note_id, sha256(merged) AS merged_hash, length(merged) AS size FROM ({_MERGED})",
     "page_windows": r"""WITH RECURSIVE p AS (SELECT source, coalesce(backend, '') AS backend, page, coalesce(CAST(page AS VARCHAR), 'None') AS label,
             length('### Page ' || coalesce(CAST(page AS VARCHAR), 'None') || chr(10) || chr(10) || coalesce(nullif(text, ''), '本页未抽取到可读文本。')) AS size FROM page_results),
         g AS (SELECT source, backend, list(page ORDER BY page NULLS LAST, size) AS pages, list(label ORDER BY page NULLS LAST, size) AS labels, list(size ORDER BY page NULLS LAST, size) AS sizes FROM p GROUP BY ALL),
